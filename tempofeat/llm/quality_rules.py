@@ -63,7 +63,7 @@ def measured(docs: DataFrame, text_col: str, least_words: int, repeat_percent: i
     rate = lambda a, b: a / F.greatest(b, F.lit(1))
     measures = {
         "symbol_rate": rate(c["n_symbols"], c["word_chars"]),
-        "dup_line_rate": rate(c["n_dup_lines"], c["n_lines"]),
+        "dup_line_rate": c["n_dup_lines"] / (c["n_lines"] + 5),  # 5: one repeat says little in a text of few lines
         "repeat_rate": rate(c["n_repeat_words"], c["n_words"]),
         "word_length": rate(c["word_chars"], c["n_words"]),
     }

@@ -37,7 +37,7 @@ def _canonical(text: str) -> str:
 
 _MEASURES = {
     "symbol_rate": "n_symbols / greatest(word_chars, 1)",
-    "dup_line_rate": "n_dup_lines / greatest(n_lines, 1)",
+    "dup_line_rate": "n_dup_lines / (n_lines + 5)",
     "repeat_rate": "n_repeat_words / greatest(n_words, 1)",
     "word_length": "word_chars / greatest(n_words, 1)",
 }
