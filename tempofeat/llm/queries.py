@@ -6,6 +6,7 @@ from tempofeat.llm import licences, quality_rules, url_filter
 from tempofeat.llm.decontamination import op4_suffix_decontamination
 from tempofeat.llm.licences import op10_licence_scan
 from tempofeat.llm.packing import op8_cost_packing
+from tempofeat.llm.quality_classifier import op7_subword_quality
 from tempofeat.llm.quality_rules import op1_quality_rules
 from tempofeat.llm.sharding import op3_feistel_shards
 from tempofeat.llm.token_counts import op9_token_counts
@@ -18,6 +19,7 @@ QUERIES = {
         op2_url_filter,
         op3_feistel_shards,
         op4_suffix_decontamination,
+        op7_subword_quality,
         op8_cost_packing,
         op9_token_counts,
         op10_licence_scan,
