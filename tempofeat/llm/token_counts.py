@@ -58,7 +58,7 @@ def frequent(docs: DataFrame, tokenizer: str, size: int, longest: int, fan: int
     while n > fan:
         sums, n = sums.groupBy(F.floor(F.col("part") / fan)).applyInArrow(merge, "part long, blob binary"), -(-n // fan)
     total = Counter()
-    for row in sums.toLocalIterator():
+    for row in sums.collect():  # at most `fan` bounded summaries
         total.update(pickle.loads(row.blob))
         total = shrink(total, 2 * size)
     return [k for k, _ in total.most_common(size)]
