@@ -10,6 +10,7 @@ from tempofeat.llm.quality_classifier import op7_subword_quality
 from tempofeat.llm.quality_rules import op1_quality_rules
 from tempofeat.llm.sharding import op3_feistel_shards
 from tempofeat.llm.token_counts import op9_token_counts
+from tempofeat.llm.toxicity import op5_string_kernel_toxicity
 from tempofeat.llm.url_filter import op2_url_filter
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
         op2_url_filter,
         op3_feistel_shards,
         op4_suffix_decontamination,
+        op5_string_kernel_toxicity,
         op7_subword_quality,
         op8_cost_packing,
         op9_token_counts,
