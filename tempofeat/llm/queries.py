@@ -5,6 +5,7 @@ from __future__ import annotations
 from tempofeat.llm import licences, quality_rules, url_filter
 from tempofeat.llm.decontamination import op4_suffix_decontamination
 from tempofeat.llm.licences import op10_licence_scan
+from tempofeat.llm.ngram_join import op6_ngram_jaccard_join
 from tempofeat.llm.packing import op8_cost_packing
 from tempofeat.llm.quality_classifier import op7_subword_quality
 from tempofeat.llm.quality_rules import op1_quality_rules
@@ -21,6 +22,7 @@ QUERIES = {
         op3_feistel_shards,
         op4_suffix_decontamination,
         op5_string_kernel_toxicity,
+        op6_ngram_jaccard_join,
         op7_subword_quality,
         op8_cost_packing,
         op9_token_counts,
