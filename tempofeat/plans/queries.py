@@ -1,2 +1,468 @@
-QUERIES = {}
-SQL = {}
+"""Queries over the driver's tables, one for each operator, with the same in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempofeat.config import Settings
+from tempofeat.functions.values import NUMERIC, time_bin, to_double
+from tempofeat.operators import discretize, encode, hierarchy, invariant, postfilter, prefilter, temporal, value_types
+from tempofeat.operators.numbering import numbered
+from tempofeat.plans.pipeline import FeaturePipeline, row_labels
+from tempofeat.plans.views import SETTINGS, events, population
+
+MANY_STATS = ("median", "std", "var", "sum", "prod", "count", "nunique", "first", "last", "skew", "slope", "sem")
+GIVEN_EDGES = [0.0, 25.0, 50.0, 100.0, 200.0]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = f"WITH {CTES} {sql}"
+        return f
+
+    return add
+
+
+# The same pipeline as common table expressions; a query takes what it needs of them.
+_Q = "'" + NUMERIC.replace("'", "''") + "'"
+_NUM = f"CASE WHEN regexp_matches(val, {_Q}) THEN nullif(TRY_CAST(replace(trim(val), '_', '') AS DOUBLE), 'nan'::DOUBLE) END"
+_ARR = "list_sort(list_distinct(quantile_cont(num, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])))"
+_PROFILE = f"count(DISTINCT num) AS numbers, count(num) AS n_num, count(*) - count(num) AS n_text, avg(num) AS mean, CASE WHEN count(DISTINCT num) > 2 THEN {_ARR} END AS edges"
+_INTERVAL = "CASE WHEN num = edges[1] THEN 1 ELSE len(list_filter(edges, lambda e: e < num)) END"
+_TEXT = "coalesce(val, CASE WHEN num = floor(num) AND abs(num) < 1e16 THEN CAST(CAST(num AS DECIMAL(20, 0)) AS VARCHAR) || '.0' ELSE CAST(num AS VARCHAR) END)"
+
+
+def _coded(cells: str, profile: str, keys: str, ordinal: bool = False) -> str:
+    """Encoded cells of discretised columns: keys, col, kind, level and text of the feature."""
+    numeric = f"SELECT {keys}, col, var, grp, ord, 0 AS kind, {_INTERVAL} AS level, NULL::VARCHAR AS text FROM {cells} JOIN {profile} USING (col) WHERE edges IS NOT NULL AND num IS NOT NULL AND {_INTERVAL} BETWEEN 1 AND len(edges) - 1"
+    if ordinal:
+        numeric = f"SELECT {keys}, col, var, grp, ord, 1 AS kind, level, NULL::VARCHAR AS text FROM (SELECT *, unnest(range(1, len(edges))) AS level FROM {cells} JOIN {profile} USING (col) WHERE edges IS NOT NULL AND num IS NOT NULL) WHERE num > edges[level]"
+    return f"{numeric} UNION ALL SELECT {keys}, col, var, grp, ord, 2, 0, {_TEXT} FROM {cells} JOIN {profile} USING (col) WHERE edges IS NULL OR num IS NULL"
+
+
+def _pairs(coded: str, rows: str) -> str:
+    """i, j and r of all pairs of features with standard deviations, from a table (rid, fid)."""
+    return f"""SELECT a.fid AS i, b.fid AS j, (coalesce(p.xy, 0) - a.s * b.s / {rows}) / sqrt((a.s - a.s * a.s / {rows}) * (b.s - b.s * b.s / {rows})) AS r
+  FROM (SELECT fid, count(*)::DOUBLE AS s FROM {coded} GROUP BY fid HAVING count(*) < {rows}) a JOIN (SELECT fid, count(*)::DOUBLE AS s FROM {coded} GROUP BY fid HAVING count(*) < {rows}) b ON a.fid > b.fid
+  LEFT JOIN (SELECT x.fid AS i, y.fid AS j, count(*)::DOUBLE AS xy FROM {coded} x JOIN {coded} y ON x.rid = y.rid AND x.fid > y.fid GROUP BY ALL) p ON p.i = a.fid AND p.j = b.fid"""
+
+
+CTES = f"""
+eav AS (
+  SELECT user_id AS ID, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 3.6e9 AS t, event_type AS var, CAST(value AS VARCHAR) AS val, event_id AS row_idx FROM events
+  UNION ALL SELECT user_id, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 3.6e9, 'LAST_TYPE', event_type, event_id FROM events
+  UNION ALL SELECT user_id, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 3.6e9, 'READING', CASE WHEN value < 5 THEN '<5' ELSE CAST(value AS VARCHAR) END, event_id FROM events
+  UNION ALL SELECT o_custkey, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE), 'STATUS', o_orderstatus, o_orderkey FROM orders
+  UNION ALL SELECT c_custkey, NULL, 'ACCTBAL', CAST(c_acctbal AS VARCHAR), c_custkey FROM customer
+  UNION ALL SELECT c_custkey, NULL, 'SEGMENT', c_mktsegment, c_custkey FROM customer
+  UNION ALL SELECT c_custkey, NULL, 'NATION', CAST(c_nationkey AS VARCHAR), c_custkey FROM customer
+  UNION ALL SELECT c_custkey, NULL, 'REGION', r_name || ':' || n_name || ':' || c_mktsegment, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+pop AS (SELECT c_custkey AS ID FROM customer WHERE c_custkey <= (SELECT max(user_id) FROM events) + 10),
+n AS (SELECT count(*) AS n FROM pop),
+idx AS (SELECT ID, row_number() OVER (ORDER BY ID) - 1 AS id_idx FROM pop),
+inpop AS (SELECT * FROM eav WHERE ID IN (SELECT ID FROM pop)),
+intime AS (SELECT * FROM inpop WHERE t IS NULL OR (t >= 0 AND t < 720)),
+shares AS (SELECT var, count(DISTINCT ID) / (SELECT n FROM n) AS share FROM intime GROUP BY var),
+pre AS (SELECT * FROM intime WHERE var IN (SELECT var FROM shares WHERE share > 0.001)),
+hier AS (
+  SELECT ID, t, var, val, row_idx FROM pre WHERE var <> 'REGION'
+  UNION ALL SELECT ID, t, var, v, min(row_idx) FROM (SELECT *, unnest(list_distinct([string_split(val, ':')[1], string_split(val, ':')[least(2, len(string_split(val, ':')))]])) AS v FROM pre WHERE var = 'REGION') GROUP BY ID, t, var, v),
+types AS (SELECT var, CASE var WHEN 'NATION' THEN 'Categorical' WHEN 'REGION' THEN 'hierarchical' ELSE CASE WHEN count(val) = 0 THEN 'None'
+    WHEN count(val) = count(*) FILTER (regexp_matches(val, {_Q})) THEN 'Numeric' WHEN count(*) FILTER (regexp_matches(val, {_Q})) > 0 THEN 'Numeric + Categorical' ELSE 'Categorical' END END AS value_type
+  FROM hier GROUP BY var),
+forced AS (SELECT ID, t, var, CASE WHEN var = 'NATION' THEN '_' || val ELSE val END AS val, row_idx FROM hier),
+mapped AS (
+  SELECT ID, t, CASE WHEN d THEN var || ':' || coalesce(val, 'nan') ELSE var END AS var, CASE WHEN d THEN '1' ELSE val END AS val, row_idx FROM (
+    SELECT f.*, count(*) OVER (PARTITION BY ID, t, var) > 1 AND NOT contains(lower(value_type), 'numeric') AND NOT contains(lower(value_type), 'none') AS d FROM forced f JOIN types USING (var))),
+inv AS (SELECT * FROM mapped WHERE var IN (SELECT var FROM mapped WHERE t IS NULL)),
+ser AS (SELECT * FROM mapped WHERE var NOT IN (SELECT var FROM mapped WHERE t IS NULL)),
+often AS (SELECT var FROM ser JOIN types USING (var) WHERE value_type = 'Numeric' GROUP BY var HAVING count(*) / (SELECT n FROM n) >= 10),
+cells_s AS (SELECT *, {_NUM} AS num, 0 AS grp, 0 AS ord FROM (SELECT ID, var || '_value' AS col, var, arg_max(val, row_idx) AS val FROM inv WHERE val IS NOT NULL GROUP BY ID, var)),
+binned AS (SELECT *, {_NUM} AS num FROM (SELECT *, CASE WHEN t >= (b + 1) * 72.0::DOUBLE THEN b + 1 WHEN t < b * 72.0::DOUBLE THEN b - 1 ELSE b END AS bin FROM (SELECT *, CAST(floor(t / 72.0::DOUBLE) AS INTEGER) AS b FROM ser)) WHERE bin BETWEEN 0 AND 9 AND val IS NOT NULL),
+latest AS (SELECT *, {_NUM} AS num FROM (SELECT ID, bin, var, var || '_value' AS col, arg_max(val, row(t, row_idx)) AS val FROM binned GROUP BY ID, bin, var)),
+obs AS (SELECT ID, bin, var, min(num) AS s_min, max(num) AS s_max, avg(num) AS s_mean, arg_max(num, row(t, row_idx)) AS last FROM binned WHERE num IS NOT NULL AND var IN (SELECT var FROM often) GROUP BY ID, bin, var),
+grid AS (SELECT ID, var, unnest(range(10))::INTEGER AS bin FROM pop, often),
+filled AS (
+  SELECT ID, bin, var, last IS NOT NULL AS mask, coalesce(bin - last_value(CASE WHEN last IS NOT NULL THEN bin END IGNORE NULLS) OVER w, 0) AS delta,
+    last_value(last IGNORE NULLS) OVER w AS value, s_min, s_max, s_mean
+  FROM grid LEFT JOIN obs USING (ID, bin, var) WINDOW w AS (PARTITION BY ID, var ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cells_x AS (
+  SELECT ID, bin, var, col, 0 AS grp, 0 AS ord, val, num FROM latest WHERE var NOT IN (SELECT var FROM often)
+  UNION ALL SELECT ID, bin, var, var || '_delta_time', 2, 0, CAST(delta AS VARCHAR), delta::DOUBLE FROM filled
+  UNION ALL SELECT ID, bin, var, var || '_value', 3, 0, NULL, value FROM filled WHERE value IS NOT NULL
+  UNION ALL SELECT ID, bin, var, var || '_min', 4, 0, NULL, CASE WHEN mask THEN s_min ELSE value END FROM filled WHERE value IS NOT NULL
+  UNION ALL SELECT ID, bin, var, var || '_max', 4, 1, NULL, CASE WHEN mask THEN s_max ELSE value END FROM filled WHERE value IS NOT NULL
+  UNION ALL SELECT ID, bin, var, var || '_mean', 4, 2, NULL, CASE WHEN mask THEN s_mean ELSE value END FROM filled WHERE value IS NOT NULL),
+profile_s AS (SELECT col, {_PROFILE} FROM cells_s GROUP BY col),
+profile_x AS (SELECT col, {_PROFILE} FROM cells_x GROUP BY col),
+coded_s AS ({_coded("cells_s", "profile_s", "ID")}),
+coded_x AS (SELECT ID, bin, var || '_mask' AS col, var, 1 AS grp, 0 AS ord, -1 AS kind, 0 AS level, NULL::VARCHAR AS text FROM filled WHERE mask UNION ALL {_coded("cells_x", "profile_x", "ID, bin")}),
+feat_s AS (SELECT *, row_number() OVER (ORDER BY var, ord, col, kind, level, text) - 1 AS fid FROM (SELECT DISTINCT col, var, ord, kind, level, text FROM coded_s)),
+feat_x AS (SELECT *, row_number() OVER (ORDER BY grp <> 1, grp, var, ord, col, kind, level, text) - 1 AS fid FROM (SELECT DISTINCT col, var, grp, ord, kind, level, text FROM coded_x)),
+all_s AS (SELECT c.ID, id_idx AS rid, fid FROM coded_s c JOIN feat_s f ON c.col = f.col AND c.kind = f.kind AND c.level = f.level AND c.text IS NOT DISTINCT FROM f.text JOIN idx USING (ID)),
+all_x AS (SELECT c.ID, c.bin, id_idx * 10 + bin AS rid, fid FROM coded_x c JOIN feat_x f ON c.col = f.col AND c.kind = f.kind AND c.level = f.level AND c.text IS NOT DISTINCT FROM f.text JOIN idx USING (ID)),
+var_s AS (SELECT fid, count(*) / (SELECT n FROM n) - (count(*) / (SELECT n FROM n)) ** 2 AS variance FROM all_s GROUP BY fid),
+ever_x AS (SELECT fid, count(*) / (SELECT n FROM n) AS ever, 1 - count(*) FILTER (m = 10) / (SELECT n FROM n) AS ever_not_one FROM (SELECT fid, ID, count(*) AS m FROM all_x GROUP BY fid, ID) GROUP BY fid),
+kept_s AS (SELECT * FROM all_s WHERE fid IN (SELECT fid FROM var_s WHERE variance > 0.01 * 0.99)),
+kept_x AS (SELECT * FROM all_x WHERE fid IN (SELECT fid FROM ever_x WHERE ever > 0.01 AND ever_not_one > 0.01)),
+pairs_s AS ({_pairs("kept_s", "(SELECT n FROM n)")}),
+pairs_x AS ({_pairs("kept_x", "(SELECT 10 * n FROM n)")}),
+first_s AS (SELECT i, min(j) AS j, arg_min(r, j) AS r FROM pairs_s WHERE abs(abs(r) - 1) <= 1.001e-5 GROUP BY i),
+first_x AS (SELECT i, min(j) AS j, arg_min(r, j) AS r FROM pairs_x WHERE abs(abs(r) - 1) <= 1.001e-5 GROUP BY i)
+"""
+_DIGITS = 6
+_R = lambda c: f"round({c}, {_DIGITS})"
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, _DIGITS) for c in names})
+
+
+# --- steps of the pipeline over the driver's tables ---
+
+
+def _pre(spark, d):
+    people = population(spark, d)
+    return prefilter.in_time(prefilter.in_population(events(spark, d), people), SETTINGS.until), people
+
+
+def _prepared(spark, d, settings: Settings = SETTINGS):
+    return FeaturePipeline(settings).prepare(events(spark, d), population(spark, d))
+
+
+def _parts(spark, d):
+    rows, types, people, n = _prepared(spark, d)
+    fixed, series = value_types.split(rows)
+    return fixed, series, types, people, n
+
+
+def _filled(spark, d, settings: Settings = SETTINGS):
+    _, series, types, people, n = _parts(spark, d)
+    often = sorted(r["var"] for r in temporal.frequent_numeric(series, types, people, n, settings).collect())
+    return temporal.filled(temporal.binned(series, people, settings), people, often, settings)
+
+
+def _run(spark, d, which: str, **changes):
+    pipeline = FeaturePipeline(replace(SETTINGS, **changes))
+    rows, types, people, n = pipeline.prepare(events(spark, d), population(spark, d))
+    fixed, series = value_types.split(rows)
+    return pipeline._invariant(fixed, people, n) if which == "S" else pipeline._series(series, types, people, n)[0]
+
+
+def _named(matrix, final: bool, *keys: str) -> DataFrame:
+    features, cells = (matrix.features, matrix.cells) if final else (matrix.all_features, matrix.all_cells)
+    return cells.join(features, "feature_id").select(*keys, "col", "kind", "level", "text", F.round("value", _DIGITS).alias("value"))
+
+
+_SHOWN = "ID, round(t, 6) AS t, var, val"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("ID", F.round("t", _DIGITS).alias("t"), "var", "val")
+
+
+# --- prefilter ---
+
+
+@query(f"SELECT {_SHOWN} FROM inpop")
+def population_semi_join(spark, d):
+    return _shown(prefilter.in_population(events(spark, d), population(spark, d)))
+
+
+@query(f"SELECT {_SHOWN} FROM eav WHERE t IS NULL OR (t >= 0 AND t < 720)")
+def time_range_filter(spark, d):
+    return _shown(prefilter.in_time(events(spark, d), SETTINGS.until))
+
+
+@query(f"SELECT ID, round(t, 6) AS t, var, count(*) AS n, coalesce(bool_or(regexp_matches(val, {_Q})), false) AS any_numeric FROM eav GROUP BY ID, eav.t, var HAVING count(*) > 1")
+def duplicate_check(spark, d):
+    return prefilter.duplicated(events(spark, d)).withColumn("t", F.round("t", _DIGITS))
+
+
+@query("SELECT ID, var, count(*) AS n FROM inpop GROUP BY ID, var")
+def variable_counts(spark, d):
+    return prefilter.variable_counts(events(spark, d), population(spark, d))
+
+
+@query("SELECT ID, var, count(*) AS n FROM intime WHERE var IN (SELECT var FROM shares WHERE share > 0.95) GROUP BY ID, var")
+def rare_variable_filter(spark, d):
+    rows, people = _pre(spark, d)
+    return prefilter.drop_rare(rows, people.count(), 0.95).groupBy("ID", "var").agg(F.count("*").alias("n"))
+
+
+@query("SELECT var, round(share, 6) AS share FROM shares")
+def occurrence_rate(spark, d):
+    rows, people = _pre(spark, d)
+    return rounded(prefilter.occurrence(rows, people.count()), "share")
+
+
+# --- types ---
+
+
+@query("SELECT var, value_type FROM types")
+def value_type_detection(spark, d):
+    return _prepared(spark, d)[1]
+
+
+@query("SELECT ID, val FROM forced WHERE var = 'NATION'")
+def categorical_forcing(spark, d):
+    rows, _ = _pre(spark, d)
+    return value_types.force_categorical(rows, SETTINGS.value_types).where("var = 'NATION'").select("ID", "val")
+
+
+@query(f"SELECT {_SHOWN} FROM mapped WHERE starts_with(var, 'STATUS') OR starts_with(var, 'REGION')")
+def premap_duplicates(spark, d):
+    return _shown(_prepared(spark, d)[0].where("startswith(var, 'STATUS') or startswith(var, 'REGION')"))
+
+
+@query(f"SELECT {_SHOWN} FROM inv")
+def split_invariant(spark, d):
+    return _shown(_parts(spark, d)[0])
+
+
+@query(f"SELECT {_SHOWN} FROM ser")
+def split_series(spark, d):
+    return _shown(_parts(spark, d)[1])
+
+
+@query("SELECT ID, var, val FROM hier WHERE var = 'REGION'")
+def hierarchy_levels(spark, d):
+    rows, _ = _pre(spark, d)
+    return hierarchy.expand(rows, SETTINGS.value_types, ":", SETTINGS.hierarchical_levels).where("var = 'REGION'").select("ID", "var", "val")
+
+
+_LOOKUP = "c(code, path) AS (SELECT n_name, [r_name, n_name] FROM nation JOIN region ON n_regionkey = r_regionkey), k(code9, code10) AS (SELECT n_name, 'X' || n_regionkey FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT r_name, 'R' || r_regionkey FROM region WHERE r_regionkey < 3)"
+
+
+@query(f", {_LOOKUP} SELECT n_name AS code, coalesce(a.code10, b.code10) AS converted FROM nation JOIN c ON code = n_name LEFT JOIN k a ON a.code9 = n_name LEFT JOIN k b ON b.code9 = path[1]")
+def code_conversion(spark, d):
+    nation, region = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "region"))
+    both = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    paths = both.select(F.col("n_name").alias("code"), F.array("r_name", "n_name").alias("path"))
+    even = nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("code9"), F.concat(F.lit("X"), "n_regionkey").alias("code10"))
+    some = region.where("r_regionkey < 3").select(F.col("r_name").alias("code9"), F.concat(F.lit("R"), "r_regionkey").alias("code10"))
+    return hierarchy.convert_codes(nation.select(F.col("n_name").alias("code")), even.unionByName(some), paths)
+
+
+# --- invariant ---
+
+
+@query(f"SELECT ID, col, val, {_R('num')} AS num FROM cells_s")
+def invariant_last_value(spark, d):
+    fixed, _, _, people, _ = _parts(spark, d)
+    return rounded(invariant.last_values(fixed, people), "num").drop("var")
+
+
+@query("SELECT p.ID, round(coalesce(num, avg(num) OVER ()), 6) AS value FROM pop p LEFT JOIN (SELECT * FROM cells_s WHERE col = 'ACCTBAL_value' AND ID % 7 > 0) c ON p.ID = c.ID")
+def invariant_impute_mean(spark, d):
+    """ACCTBAL with every seventh customer unknown, who gets the mean."""
+    from tempofeat.plans.pipeline import dense
+
+    rows = events(spark, d).where("var = 'ACCTBAL' and ID % 7 > 0")
+    result = FeaturePipeline(replace(SETTINGS, discretize=False, postfilter=False)).run(rows, population(spark, d))
+    ids = result.population.select(F.col("id_idx").alias("row_id"), "ID")
+    return dense(result.S, ids).select("ID", F.round("ACCTBAL_value", _DIGITS).alias("value"))
+
+
+# --- time series ---
+
+
+@query("SELECT var FROM often")
+def frequent_variables(spark, d):
+    _, series, types, people, n = _parts(spark, d)
+    return temporal.frequent_numeric(series, types, people, n, SETTINGS)
+
+
+@query("SELECT event_id, CAST(CASE WHEN t >= (b + 1) * 0.1::DOUBLE THEN b + 1 WHEN t < b * 0.1::DOUBLE THEN b - 1 ELSE b END AS INTEGER) AS bin FROM (SELECT event_id, t, floor(t / 0.1::DOUBLE) AS b FROM (SELECT event_id, round(value / 100, 1) AS t FROM events)) WHERE t < 4.9")
+def time_bins(spark, d):
+    """Times on the edges of bins of 0.1, where a plain quotient errs."""
+    seen = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(F.col("value") / 100, 1).alias("t"))
+    return seen.where("t < 4.9").select("event_id", time_bin(F.col("t"), 0.1, 60).alias("bin"))
+
+
+@query(f"SELECT ID, bin, col, val, {_R('num')} AS num FROM latest WHERE var NOT IN (SELECT var FROM often)")
+def most_recent_value(spark, d):
+    _, series, types, people, n = _parts(spark, d)
+    cells, _ = temporal.series(series, types, people, n, SETTINGS)
+    return rounded(cells.where(F.col("grp") == temporal.PLAIN), "num").select("ID", "bin", "col", "val", "num")
+
+
+@query("SELECT ID, bin, var, mask FROM filled")
+def presence_mask(spark, d):
+    return _filled(spark, d).select("ID", "bin", "var", "mask")
+
+
+@query("SELECT ID, bin, var, delta::INTEGER AS delta FROM filled")
+def delta_time(spark, d):
+    return _filled(spark, d).select("ID", "bin", "var", "delta")
+
+
+@query(f"SELECT ID, bin, var, {_R('value')} AS value FROM filled")
+def ffill_impute(spark, d):
+    return rounded(_filled(spark, d), "value").select("ID", "bin", "var", "value")
+
+
+@query(f"SELECT ID, bin, var, {', '.join(f'round(CASE WHEN mask THEN s_{s} ELSE value END, 6) AS s_{i}' for i, s in enumerate(SETTINGS.stats))} FROM filled")
+def summary_stats(spark, d):
+    return rounded(_filled(spark, d), "s_0", "s_1", "s_2").select("ID", "bin", "var", "s_0", "s_1", "s_2")
+
+
+_MANY = {
+    "median": ("median(num)", "value"),
+    "std": ("stddev_samp(num)", "NULL"),
+    "var": ("var_samp(num)", "NULL"),
+    "sum": ("sum(num)", "coalesce(value, zero)"),
+    "prod": ("product(num)", "coalesce(value, zero + 1)"),
+    "count": ("count(num)", "coalesce(value - value + 1, zero)"),
+    "nunique": ("count(DISTINCT num)", "coalesce(value - value + 1, zero)"),
+    "first": ("arg_min(num, row(t, row_idx))", "value"),
+    "last": ("arg_max(num, row(t, row_idx))", "value"),
+    "skew": ("CASE WHEN count(num) > 2 THEN skewness(num) END", "NULL"),
+    "slope": ("regr_slope(num, t)", "NULL"),
+    "sem": ("CASE WHEN count(num) > 1 THEN stddev_samp(num) / sqrt(count(num)) END", "NULL"),
+}
+
+
+@query(
+    f""", many AS (SELECT ID, bin, var, {', '.join(f"{a} AS m_{s}" for s, (a, _) in _MANY.items())} FROM binned WHERE num IS NOT NULL AND var IN (SELECT var FROM often) GROUP BY ID, bin, var),
+whole AS (SELECT f.*, m.* EXCLUDE (ID, bin, var), CASE WHEN bool_or(mask) OVER (PARTITION BY f.ID, f.var) THEN 0.0 END AS zero FROM filled f LEFT JOIN many m ON f.ID = m.ID AND f.bin = m.bin AND f.var = m.var),
+got AS (SELECT ID, bin, var, {', '.join(f"CASE WHEN mask THEN m_{s} ELSE {c} END::DOUBLE AS {s}" for s, (_, c) in _MANY.items())} FROM whole)
+SELECT ID, bin, var, {', '.join(f"round({'log10(abs(nullif(' + s + ', 0)))' if s == 'prod' else s}, {4 if s in ('skew', 'slope') else 6}) AS {s}" for s in MANY_STATS)} FROM got"""
+)
+def summary_stats_many(spark, d):
+    table = _filled(spark, d, replace(SETTINGS, stats=MANY_STATS))
+    shown = [(F.log10(F.abs(F.nullif(F.col(f"s_{i}"), F.lit(0.0)))) if s == "prod" else F.col(f"s_{i}"), s) for i, s in enumerate(MANY_STATS)]
+    return table.select("ID", "bin", "var", *(F.round(c, 4 if s in ("skew", "slope") else 6).alias(s) for c, s in shown))
+
+
+@query("SELECT var, count(*) FILTER (NOT mask AND delta > 0) AS imputed, count(*) FILTER (NOT mask AND delta = 0) AS not_imputed FROM filled GROUP BY var")
+def imputed_counts(spark, d):
+    return temporal.imputation_counts(_filled(spark, d))
+
+
+# --- encoding ---
+
+
+@query("SELECT ID, bin, 3 AS kind, 0 AS level, NULL::VARCHAR AS text, round(num, 6) AS value FROM latest WHERE var = 'READING' AND num IS NOT NULL UNION ALL SELECT ID, bin, 2, 1, val, 1.0 FROM latest WHERE var = 'READING' AND num IS NULL")
+def mixed_split(spark, d):
+    return _named(_run(spark, d, "X", discretize=False, postfilter=False), False, "ID", "bin").where("col = 'READING_value'").select("ID", "bin", "kind", "level", "text", "value")
+
+
+@query("SELECT col, numbers, i::INTEGER AS i, round(edges[i], 6) AS edge FROM (SELECT *, unnest(range(1, len(edges) + 1)) AS i FROM (SELECT col, numbers, edges FROM profile_x UNION ALL SELECT col, numbers, edges FROM profile_s))")
+def bin_edges(spark, d):
+    fixed, series, types, people, n = _parts(spark, d)
+    cells, _ = temporal.series(series, types, people, n, SETTINGS)
+    x = discretize.column_profile(cells.where(F.col("grp") != temporal.MASK))
+    s = discretize.column_profile(invariant.last_values(fixed, people))
+    out = x.unionByName(s).select("col", "numbers", F.posexplode("edges").alias("i", "edge"))
+    return rounded(out.withColumn("i", F.col("i") + 1), "edge")
+
+
+_OUT_X = "SELECT ID, bin, col, kind, level, text, 1.0 AS value FROM "
+
+
+@query(f"{_OUT_X} coded_x WHERE kind = 0")
+def quantile_onehot(spark, d):
+    return _named(_run(spark, d, "X", postfilter=False), False, "ID", "bin").where("kind = 0")
+
+
+@query(f"SELECT ID, bin, col, kind, level, text, 1.0 AS value FROM ({_coded('cells_x', 'profile_x', 'ID, bin', True)})")
+def ordinal_encode(spark, d):
+    return _named(_run(spark, d, "X", postfilter=False, use_ordinal_encoding=True), False, "ID", "bin").where("kind >= 0")
+
+
+@query(f"{_OUT_X} coded_x WHERE kind = 2")
+def raw_onehot(spark, d):
+    return _named(_run(spark, d, "X", postfilter=False), False, "ID", "bin").where("kind = 2")
+
+
+@query(f", given AS (SELECT col, CASE WHEN numbers > 2 THEN {GIVEN_EDGES} END AS edges FROM profile_x WHERE contains(col, '_value')) SELECT ID, bin, col, kind, level, text, 1.0 AS value FROM ({_coded('cells_x', 'given', 'ID, bin')})")
+def predetermined_bins(spark, d):
+    _, series, types, people, n = _parts(spark, d)
+    cells, _ = temporal.series(series, types, people, n, SETTINGS)
+    cells = cells.where("contains(col, '_value')")
+    names = [r["col"] for r in cells.select("col").distinct().collect()]
+    profile = discretize.predetermined(discretize.column_profile(cells), dict.fromkeys(names, GIVEN_EDGES))
+    return encode.encode_discrete(cells, profile, False).select("ID", "bin", "col", "kind", "level", "text", "value")
+
+
+@query("SELECT col, kind, level, text, round(default_value, 6) AS default_value FROM (SELECT col, 3 AS kind, 0 AS level, NULL::VARCHAR AS text, mean AS default_value FROM profile_x WHERE n_num > 0 UNION ALL SELECT DISTINCT col, 2, CASE WHEN n_num > 0 THEN 1 ELSE 0 END, val, 0.0 FROM cells_x JOIN profile_x USING (col) WHERE num IS NULL UNION ALL SELECT DISTINCT var || '_mask', -1, 0, NULL, 0.0 FROM filled WHERE mask)")
+def plain_features(spark, d):
+    m = _run(spark, d, "X", discretize=False, postfilter=False)
+    return rounded(m.features, "default_value").select("col", "kind", "level", "text", "default_value")
+
+
+# --- postfilter ---
+
+
+@query("SELECT col, kind, level, text, round(variance, 6) AS variance, variance > 0.01 * 0.99 AS kept FROM var_s JOIN feat_s USING (fid)")
+def variance_filter(spark, d):
+    m = _run(spark, d, "S", postfilter=False)
+    v = postfilter.near_constant(m.features, m.cells, m.rows, SETTINGS.theta_2)
+    return rounded(m.features.join(v, "feature_id"), "variance").select("col", "kind", "level", "text", "variance", "kept")
+
+
+@query("SELECT col, kind, level, text, round(ever, 6) AS ever, round(ever_not_one, 6) AS ever_not_one, ever > 0.01 AND ever_not_one > 0.01 AS kept FROM ever_x JOIN feat_x USING (fid)")
+def temporal_frequency_filter(spark, d):
+    m = _run(spark, d, "X", postfilter=False)
+    v = postfilter.rarely_changing(m.features, m.cells, m.rows // SETTINGS.L, SETTINGS.L, SETTINGS.theta_2)
+    return rounded(m.features.join(v, "feature_id"), "ever", "ever_not_one").select("col", "kind", "level", "text", "ever", "ever_not_one", "kept")
+
+
+def _kept_s(spark, d):
+    m = _run(spark, d, "S", postfilter=False)
+    v = postfilter.near_constant(m.features, m.cells, m.rows, SETTINGS.theta_2).where("kept").select("feature_id")
+    ids = numbered(population(spark, d)).select(F.col("id_idx").alias("row_id"))
+    return m.features.join(v, "feature_id", "left_semi"), m.cells.join(v, "feature_id", "left_semi"), ids, m.rows
+
+
+@query("SELECT i, j, round(r, 4) AS r FROM pairs_s WHERE abs(abs(r) - 1) <= 1.001e-5")
+def correlation_pairs(spark, d):
+    return postfilter.perfect_pairs(*_kept_s(spark, d)).withColumn("r", F.round("r", 4))
+
+
+@query("SELECT i AS dropped_id, j AS kept_id FROM first_s")
+def correlation_filter(spark, d):
+    return postfilter.correlated(*_kept_s(spark, d)).select("dropped_id", "kept_id")
+
+
+@query("SELECT k.col AS kept_col, k.text AS kept_text, f.col AS alias_col, f.text AS alias_text, r < 0 AS opposite FROM first_s JOIN feat_s f ON f.fid = i JOIN feat_s k ON k.fid = j")
+def feature_aliases(spark, d):
+    m = _run(spark, d, "S")
+    a = m.aliases.join(m.all_features.select(F.col("feature_id").alias("kept_id"), F.col("col").alias("kept_col"), F.col("text").alias("kept_text")), "kept_id")
+    a = a.join(m.all_features.select(F.col("feature_id").alias("dropped_id"), F.col("col").alias("alias_col"), F.col("text").alias("alias_text")), "dropped_id")
+    return a.select("kept_col", "kept_text", "alias_col", "alias_text", F.startswith("alias", F.lit("~")).alias("opposite"))
+
+
+@query("SELECT ID, col, kind, level, text, 1.0 AS value FROM kept_s JOIN feat_s USING (fid) WHERE fid NOT IN (SELECT i FROM first_s)")
+def feature_matrix_S(spark, d):
+    return _named(_run(spark, d, "S"), True, "ID")
+
+
+@query("SELECT ID, bin, col, kind, level, text, 1.0 AS value FROM kept_x JOIN feat_x USING (fid) WHERE fid NOT IN (SELECT i FROM first_x)")
+def feature_tensor_X(spark, d):
+    return _named(_run(spark, d, "X"), True, "ID", "bin")
+
+
+@query("SELECT id_idx * 10 + bin AS row_id, ID, bin, '[' || bin * 72 || '.0, ' || (bin + 1) * 72 || '.0)' AS t_range FROM (SELECT ID, id_idx, unnest(range(10))::INTEGER AS bin FROM idx)")
+def tensor_rows(spark, d):
+    return row_labels(numbered(population(spark, d)), SETTINGS)
+
+
+@query("SELECT ID, id_idx FROM idx WHERE id_idx < 100")
+def population_limit(spark, d):
+    return numbered(population(spark, d), 100)
+
+
+@query(f"SELECT event_id, CAST(numeric AS BOOLEAN) AS numeric, round(num, 6) AS num FROM (SELECT event_id, val, regexp_matches(val, {_Q}) AS numeric, {_NUM} AS num FROM (SELECT event_id, list_extract(['<5', '5d', '1_000', ' 7 ', '1e2', '.5', 'nan', 'inf', '-3.', '_1'], (event_id % 10 + 1)::INTEGER) AS val FROM events))")
+def numeric_text(spark, d):
+    tokens = F.lit(["<5", "5d", "1_000", " 7 ", "1e2", ".5", "nan", "inf", "-3.", "_1"])
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.element_at(tokens, (F.col("event_id") % 10 + 1).cast("int")).alias("val"))
+    return rounded(rows.select("event_id", F.col("val").rlike(NUMERIC).alias("numeric"), to_double(F.col("val")).alias("num")), "num")
