@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempofeat.functions.values import exceeded, interval, interval_labels, number_text
+from tempofeat.operators.numbering import fixed
 from tempofeat.operators.temporal import MASK
 
 INTERVAL, ABOVE, TEXT, NUMBER = range(4)
@@ -77,9 +78,11 @@ def to_features(cells: DataFrame, keys: list[str], masks: DataFrame | None, sett
     profile = column_profile(cells)
     if settings.discretize:
         profile = predetermined(profile, bins) if bins is not None else profile
+        profile = fixed(profile)
         coded = encode_discrete(cells, profile, settings.use_ordinal_encoding)
         last = F.lit(0)
     else:
+        profile = fixed(profile)
         coded = encode_plain(cells, profile)
         last = F.when((F.col("kind") == TEXT) & (F.col("level") == 1), 1).otherwise(0)
     has_place = "grp" in cells.columns
@@ -98,7 +101,7 @@ def to_features(cells: DataFrame, keys: list[str], masks: DataFrame | None, sett
     # the dictionary of features is small against the cells: one task numbers it
     first = F.when(F.col("grp") == MASK, 0).otherwise(1) if has_place else F.lit(1)
     order = [first, *map(F.col, ("last", "grp", "var", "ord", "col", "kind", "level", "text"))]
-    features = listed.withColumn("feature_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    features = fixed(listed.withColumn("feature_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")))
     on = (coded["col"] == features["col"]) & (coded["kind"] == features["kind"]) & (coded["level"] == features["level"]) & coded["text"].eqNullSafe(features["text"])
     out = coded.join(features.select("col", "kind", "level", "text", "feature_id"), on).select(*(coded[k] for k in keys), "feature_id", coded["value"])
     if masks is not None:

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempofeat.operators.numbering import fixed
+
 #: A correlation counts as perfect if it is this close to 1 or -1.
 CLOSE = 1e-8 + 1e-5
 SIGNS, REACH = 8, 0.1
@@ -96,7 +98,7 @@ def select(features: DataFrame, cells: DataFrame, verdict: DataFrame, row_ids: D
 
     varied = features.join(verdict.where("kept").select("feature_id"), "feature_id", "left_semi")
     own = cells.join(varied.select("feature_id"), "feature_id", "left_semi")
-    aliases = correlated(varied, own, row_ids, rows)
+    aliases = fixed(correlated(varied, own, row_ids, rows))
     kept = varied.join(aliases.select(F.col("dropped_id").alias("feature_id")), "feature_id", "left_anti")
     kept = kept.withColumn("new_id", (F.row_number().over(Window.orderBy("feature_id")) - 1).cast("long"))
     out = own.join(kept.select("feature_id", "new_id"), "feature_id").drop("feature_id").withColumnRenamed("new_id", "feature_id")

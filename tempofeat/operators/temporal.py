@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tempofeat.config import Settings
 from tempofeat.functions.statistics import statistic
 from tempofeat.functions.values import time_bin, to_double
+from tempofeat.operators.numbering import fixed
 
 #: Places of the groups of columns.
 PLAIN, MASK, DELTA, VALUE, STATS = range(5)
@@ -58,6 +59,7 @@ def filled(rows: DataFrame, population: DataFrame, names: list[str], settings: S
     seen = observed(rows.where(F.col("var").isin(names)), stats)
     by_bin = Window.partitionBy("ID", "var").orderBy("bin")
     seen = seen.withColumns({"next": F.coalesce(F.lead("bin").over(by_bin), F.lit(bins)), "first": F.lag("bin").over(by_bin).isNull()})
+    seen = fixed(seen)
     begin = F.when(F.col("first"), 0).otherwise(F.col("bin"))
     each = seen.withColumn("b", F.explode(F.sequence(begin, F.col("next") - 1)))
     mask, known = F.col("b") == F.col("bin"), F.col("b") >= F.col("bin")

@@ -12,7 +12,7 @@ from tempofeat.config import Settings
 from tempofeat.functions.values import time_label
 from tempofeat.operators import encode, hierarchy, invariant, postfilter, prefilter, temporal, value_types
 from tempofeat.operators.discretize import edges_by_column
-from tempofeat.operators.numbering import numbered
+from tempofeat.operators.numbering import fixed, numbered
 from tempofeat.sources.writers import write_csv, write_features
 
 log = logging.getLogger(__name__)
@@ -51,22 +51,23 @@ class FeaturePipeline:
 
         A given N truncates the population for everything."""
         s = self.settings
-        people = numbered(population, s.N)
+        people = fixed(numbered(population, s.N))
         n = people.count()
         if not n:
             raise ValueError("the population is empty")
+        # several statistics are taken of the events before they are used, so they are
+        # written in between: nothing is computed twice, and plans stay small
         events = prefilter.prefilter(events, people, n, s) if s.prefilter else events
-        events = hierarchy.expand(events, s.value_types, s.hierarchical_sep, s.hierarchical_levels, self.lookups)
-        types = value_types.detect(events, s.value_types)
+        events = fixed(hierarchy.expand(events, s.value_types, s.hierarchical_sep, s.hierarchical_levels, self.lookups))
+        types = fixed(value_types.detect(events, s.value_types))
         events = value_types.force_categorical(events, s.value_types, s.strict_compat)
-        return value_types.premap_duplicates(events, types), types, people, n
+        return fixed(value_types.premap_duplicates(events, types)), types, people, n
 
     def run(self, events: DataFrame, population: DataFrame) -> Result:
         events, types, people, n = self.prepare(events, population)
-        events = events.persist()  # read by every later step; lost parts are recomputed
-        fixed, series = value_types.split(events)
+        still, series = value_types.split(events)
         filled = None
-        S = self._invariant(fixed, people, n) if not fixed.isEmpty() else None
+        S = self._invariant(still, people, n) if not still.isEmpty() else None
         X = None
         if not series.isEmpty():
             X, filled = self._series(series, types, people, n)
@@ -75,27 +76,28 @@ class FeaturePipeline:
     def _invariant(self, events: DataFrame, people: DataFrame, n: int) -> Matrix:
         s = self.settings
         cells = invariant.last_values(events, people)
-        features, coded, profile = encode.to_features(cells, ["ID"], None, s, s.S_bins)
+        features, coded, profile = encode.to_features(fixed(cells), ["ID"], None, s, s.S_bins)
         coded = coded.join(people, "ID").select(F.col("id_idx").alias("row_id"), "ID", "feature_id", "value")
-        verdict = lambda: postfilter.near_constant(features, coded, n, s.theta_2)
+        verdict = lambda features, cells: postfilter.near_constant(features, cells, n, s.theta_2)
         return self._matrix(features, coded, profile, verdict, people.select(F.col("id_idx").alias("row_id")), n)
 
     def _series(self, events: DataFrame, types: DataFrame, people: DataFrame, n: int) -> tuple[Matrix, DataFrame | None]:
         s = self.settings
         cells, filled = temporal.series(events, types, people, n, s)
+        cells = fixed(cells)
         masks = cells.where(F.col("grp") == temporal.MASK)
         others = cells.where(F.col("grp") != temporal.MASK)
         features, coded, profile = encode.to_features(others, ["ID", "bin"], masks, s, s.X_bins)
         coded = coded.join(people, "ID").select((F.col("id_idx") * s.L + F.col("bin")).alias("row_id"), "ID", "bin", "feature_id", "value")
-        verdict = lambda: postfilter.rarely_changing(features, coded, n, s.L, s.theta_2)
+        verdict = lambda features, cells: postfilter.rarely_changing(features, cells, n, s.L, s.theta_2)
         rows = people.select(F.explode(F.sequence(F.col("id_idx") * s.L, F.col("id_idx") * s.L + s.L - 1)).alias("row_id"))
         return self._matrix(features, coded, profile, verdict, rows, n * s.L), filled
 
     def _matrix(self, features, cells, profile, verdict, row_ids, rows: int) -> Matrix:
         if not self.settings.postfilter:
             return Matrix(features, cells, profile, features, cells, None, rows)
-        features, cells = features.persist(), cells.persist()
-        kept, own, aliases = postfilter.select(features, cells, verdict(), row_ids, rows)
+        features, cells = fixed(features), fixed(cells)
+        kept, own, aliases = postfilter.select(features, cells, verdict(features, cells), row_ids, rows)
         return Matrix(features, cells, profile, kept, own, aliases, rows)
 
     def frozen(self, result: Result) -> FeaturePipeline:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -21,10 +22,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def with_tables(sql: str) -> str:
+    """The query with the common tables that it needs, each computed once."""
+    parts = re.split(r"^(\w+) AS \(", CTES.strip(), flags=re.MULTILINE)
+    bodies = {name: body.rstrip().removesuffix(",") for name, body in zip(parts[1::2], parts[2::2], strict=True)}
+    needed: set[str] = set()
+    open_ = [sql]
+    while open_:
+        text = open_.pop()
+        new = {name for name in bodies if name not in needed and re.search(rf"\b{name}\b", text)}
+        needed |= new
+        open_ += [bodies[name] for name in new]
+    tables = ",\n".join(f"{name} AS MATERIALIZED ({body}" for name, body in bodies.items() if name in needed)
+    return f"WITH {tables}{'' if sql.startswith(',') else ' '}{sql}" if tables else f"WITH {sql.lstrip(', ')}" if sql.startswith(",") else sql
+
+
 def query(sql: str):
     def add(f):
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = f"WITH {CTES} {sql}"
+        SQL[f.__name__] = with_tables(sql)
         return f
 
     return add
@@ -333,13 +349,13 @@ _MANY = {
 @query(
     f""", many AS (SELECT ID, bin, var, {', '.join(f"{a} AS m_{s}" for s, (a, _) in _MANY.items())} FROM binned WHERE num IS NOT NULL AND var IN (SELECT var FROM often) GROUP BY ID, bin, var),
 whole AS (SELECT f.*, m.* EXCLUDE (ID, bin, var), CASE WHEN bool_or(mask) OVER (PARTITION BY f.ID, f.var) THEN 0.0 END AS zero FROM filled f LEFT JOIN many m ON f.ID = m.ID AND f.bin = m.bin AND f.var = m.var),
-got AS (SELECT ID, bin, var, {', '.join(f"CASE WHEN mask THEN m_{s} ELSE {c} END::DOUBLE AS {s}" for s, (_, c) in _MANY.items())} FROM whole)
-SELECT ID, bin, var, {', '.join(f"round({'log10(abs(nullif(' + s + ', 0)))' if s == 'prod' else s}, {4 if s in ('skew', 'slope') else 6}) AS {s}" for s in MANY_STATS)} FROM got"""
+got AS (SELECT ID, bin, var, {', '.join(f"CASE WHEN mask THEN m_{s} ELSE {c} END::DOUBLE AS r_{s}" for s, (_, c) in _MANY.items())} FROM whole)
+SELECT ID, bin, var, {', '.join(f"round({'log10(abs(nullif(r_prod, 0)))' if s == 'prod' else 'r_' + s}, {4 if s in ('skew', 'slope') else 6}) AS st_{s}" for s in MANY_STATS)} FROM got"""
 )
 def summary_stats_many(spark, d):
     table = _filled(spark, d, replace(SETTINGS, stats=MANY_STATS))
     shown = [(F.log10(F.abs(F.nullif(F.col(f"s_{i}"), F.lit(0.0)))) if s == "prod" else F.col(f"s_{i}"), s) for i, s in enumerate(MANY_STATS)]
-    return table.select("ID", "bin", "var", *(F.round(c, 4 if s in ("skew", "slope") else 6).alias(s) for c, s in shown))
+    return table.select("ID", "bin", "var", *(F.round(c, 4 if s in ("skew", "slope") else 6).alias(f"st_{s}") for c, s in shown))
 
 
 @query("SELECT var, count(*) FILTER (NOT mask AND delta > 0) AS imputed, count(*) FILTER (NOT mask AND delta = 0) AS not_imputed FROM filled GROUP BY var")
@@ -355,13 +371,13 @@ def mixed_split(spark, d):
     return _named(_run(spark, d, "X", discretize=False, postfilter=False), False, "ID", "bin").where("col = 'READING_value'").select("ID", "bin", "kind", "level", "text", "value")
 
 
-@query("SELECT col, numbers, i::INTEGER AS i, round(edges[i], 6) AS edge FROM (SELECT *, unnest(range(1, len(edges) + 1)) AS i FROM (SELECT col, numbers, edges FROM profile_x UNION ALL SELECT col, numbers, edges FROM profile_s))")
+@query("SELECT col, i::INTEGER AS i, round(edges[i], 6) AS edge FROM (SELECT *, unnest(range(1, len(edges) + 1)) AS i FROM (SELECT col, numbers, edges FROM profile_x UNION ALL SELECT col, numbers, edges FROM profile_s))")
 def bin_edges(spark, d):
     fixed, series, types, people, n = _parts(spark, d)
     cells, _ = temporal.series(series, types, people, n, SETTINGS)
     x = discretize.column_profile(cells.where(F.col("grp") != temporal.MASK))
     s = discretize.column_profile(invariant.last_values(fixed, people))
-    out = x.unionByName(s).select("col", "numbers", F.posexplode("edges").alias("i", "edge"))
+    out = x.unionByName(s).select("col", F.posexplode("edges").alias("i", "edge"))
     return rounded(out.withColumn("i", F.col("i") + 1), "edge")
 
 
@@ -456,7 +472,7 @@ def tensor_rows(spark, d):
     return row_labels(numbered(population(spark, d)), SETTINGS)
 
 
-@query("SELECT ID, id_idx FROM idx WHERE id_idx < 100")
+@query("SELECT ID, id_idx FROM idx ORDER BY ID LIMIT 100")
 def population_limit(spark, d):
     return numbered(population(spark, d), 100)
 
