@@ -57,9 +57,9 @@ _TEXT = "coalesce(val, CASE WHEN num = floor(num) AND abs(num) < 1e16 THEN CAST(
 
 def _coded(cells: str, profile: str, keys: str, ordinal: bool = False) -> str:
     """Encoded cells of discretised columns: keys, col, kind, level and text of the feature."""
-    numeric = f"SELECT {keys}, col, var, grp, ord, 0 AS kind, {_INTERVAL} AS level, NULL::VARCHAR AS text FROM {cells} JOIN {profile} USING (col) WHERE edges IS NOT NULL AND num IS NOT NULL AND {_INTERVAL} BETWEEN 1 AND len(edges) - 1"
+    numeric = f"SELECT {keys}, col, var, grp, ord, 0 AS kind, ({_INTERVAL})::INTEGER AS level, NULL::VARCHAR AS text FROM {cells} JOIN {profile} USING (col) WHERE edges IS NOT NULL AND num IS NOT NULL AND {_INTERVAL} BETWEEN 1 AND len(edges) - 1"
     if ordinal:
-        numeric = f"SELECT {keys}, col, var, grp, ord, 1 AS kind, level, NULL::VARCHAR AS text FROM (SELECT *, unnest(range(1, len(edges))) AS level FROM {cells} JOIN {profile} USING (col) WHERE edges IS NOT NULL AND num IS NOT NULL) WHERE num > edges[level]"
+        numeric = f"SELECT {keys}, col, var, grp, ord, 1 AS kind, level, NULL::VARCHAR AS text FROM (SELECT *, unnest(range(1, len(edges)))::INTEGER AS level FROM {cells} JOIN {profile} USING (col) WHERE edges IS NOT NULL AND num IS NOT NULL) WHERE num > edges[level]"
     return f"{numeric} UNION ALL SELECT {keys}, col, var, grp, ord, 2, 0, {_TEXT} FROM {cells} JOIN {profile} USING (col) WHERE edges IS NULL OR num IS NULL"
 
 
@@ -103,11 +103,11 @@ often AS (SELECT var FROM ser JOIN types USING (var) WHERE value_type = 'Numeric
 cells_s AS (SELECT *, {_NUM} AS num, 0 AS grp, 0 AS ord FROM (SELECT ID, var || '_value' AS col, var, arg_max(val, row_idx) AS val FROM inv WHERE val IS NOT NULL GROUP BY ID, var)),
 binned AS (SELECT *, {_NUM} AS num FROM (SELECT *, CASE WHEN t >= (b + 1) * 72.0::DOUBLE THEN b + 1 WHEN t < b * 72.0::DOUBLE THEN b - 1 ELSE b END AS bin FROM (SELECT *, CAST(floor(t / 72.0::DOUBLE) AS INTEGER) AS b FROM ser)) WHERE bin BETWEEN 0 AND 9 AND val IS NOT NULL),
 latest AS (SELECT *, {_NUM} AS num FROM (SELECT ID, bin, var, var || '_value' AS col, arg_max(val, row(t, row_idx)) AS val FROM binned GROUP BY ID, bin, var)),
-obs AS (SELECT ID, bin, var, min(num) AS s_min, max(num) AS s_max, avg(num) AS s_mean, arg_max(num, row(t, row_idx)) AS last FROM binned WHERE num IS NOT NULL AND var IN (SELECT var FROM often) GROUP BY ID, bin, var),
+obs AS (SELECT ID, bin, var, min(num) AS s_min, max(num) AS s_max, round(avg(num), 9) AS s_mean9, arg_max(num, row(t, row_idx)) AS last FROM binned WHERE num IS NOT NULL AND var IN (SELECT var FROM often) GROUP BY ID, bin, var),
 grid AS (SELECT ID, var, unnest(range(10))::INTEGER AS bin FROM pop, often),
 filled AS (
   SELECT ID, bin, var, last IS NOT NULL AS mask, coalesce(bin - last_value(CASE WHEN last IS NOT NULL THEN bin END IGNORE NULLS) OVER w, 0) AS delta,
-    last_value(last IGNORE NULLS) OVER w AS value, s_min, s_max, s_mean
+    last_value(last IGNORE NULLS) OVER w AS value, s_min, s_max, s_mean9
   FROM grid LEFT JOIN obs USING (ID, bin, var) WINDOW w AS (PARTITION BY ID, var ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 cells_x AS (
   SELECT ID, bin, var, col, 0 AS grp, 0 AS ord, val, num FROM latest WHERE var NOT IN (SELECT var FROM often)
@@ -115,7 +115,7 @@ cells_x AS (
   UNION ALL SELECT ID, bin, var, var || '_value', 3, 0, NULL, value FROM filled WHERE value IS NOT NULL
   UNION ALL SELECT ID, bin, var, var || '_min', 4, 0, NULL, CASE WHEN mask THEN s_min ELSE value END FROM filled WHERE value IS NOT NULL
   UNION ALL SELECT ID, bin, var, var || '_max', 4, 1, NULL, CASE WHEN mask THEN s_max ELSE value END FROM filled WHERE value IS NOT NULL
-  UNION ALL SELECT ID, bin, var, var || '_mean', 4, 2, NULL, CASE WHEN mask THEN s_mean ELSE value END FROM filled WHERE value IS NOT NULL),
+  UNION ALL SELECT ID, bin, var, var || '_mean9', 4, 2, NULL, CASE WHEN mask THEN s_mean9 ELSE value END FROM filled WHERE value IS NOT NULL),
 profile_s AS (SELECT col, {_PROFILE} FROM cells_s GROUP BY col),
 profile_x AS (SELECT col, {_PROFILE} FROM cells_x GROUP BY col),
 coded_s AS ({_coded("cells_s", "profile_s", "ID")}),
