@@ -22,10 +22,10 @@ def at_levels(events: DataFrame, path: Column, levels: tuple[int, ...]) -> DataF
     """One row for each distinct value of the path at the levels; equal rows once."""
     if not levels:
         warnings.warn("no hierarchical levels are given: hierarchical variables are dropped", stacklevel=2)
-        return events.limit(0)
+        return events.limit(0).select("ID", "t", "var", "val", "row_idx")
     values = F.array_distinct(F.filter(F.array(*(level(path, k) for k in levels)), lambda v: v.isNotNull()))
     rows = events.withColumn("val", F.explode_outer(values))
-    return rows.groupBy("ID", "t", "var", "val").agg(F.min("row_idx").alias("row_idx")).select(*events.columns)
+    return rows.groupBy("ID", "t", "var", "val").agg(F.min("row_idx").alias("row_idx")).select("ID", "t", "var", "val", "row_idx")
 
 
 def convert_codes(codes: DataFrame, code_map: DataFrame, paths9: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def expand(events: DataFrame, value_types: dict[str, str], sep: str, levels: tup
             if bad:
                 raise ValueError(f"unknown codes for {kind}: {', '.join(r.code for r in bad)}")
             own = own.join(paths.withColumnRenamed("code", "val"), "val", "left")
-            parts.append(at_levels(own, F.col("path"), levels).select(*events.columns))
+            parts.append(at_levels(own, F.col("path"), levels))
         else:
             parts.append(at_levels(own, path_of_text(F.col("val"), sep), levels))
     out = parts[0]
