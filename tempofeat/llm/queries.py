@@ -124,5 +124,19 @@ WITH eq AS (SELECT MAP {{{", ".join(f"'{a}': '{b}'" for a, b in licences.EQUIVAL
 known AS (SELECT digest, min(licence) AS licence FROM (SELECT sha256({_canonical("text")}) AS digest, licence FROM (VALUES {_values(licences.KNOWN.items())}) k(licence, text), eq) GROUP BY digest),
 d AS (SELECT doc_id, nullif(sha256({_canonical("text")}), sha256('')) AS digest FROM documents, eq)
 SELECT doc_id, digest, licence, licence IS NOT NULL AS is_licence FROM d LEFT JOIN known USING (digest)
+""",
+    "op6_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.rid <> y.rid GROUP BY ALL) p
+  JOIN sizes sa ON sa.rid = a JOIN sizes sb ON sb.rid = b WHERE c / (sa.n + sb.n - c) >= 0.8),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS rid, min(doc_id) AS class_id FROM reach JOIN d ON d.rid = b GROUP BY a),
+numbers AS (SELECT a AS rid, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, doc_id = coalesce(class_id, doc_id) AS is_first
+FROM d LEFT JOIN classes USING (rid) LEFT JOIN numbers USING (rid)
 """,
 }
