@@ -215,3 +215,20 @@ def test_stream(spark, small, tmp_path):
     got = spark.table("latest_cells")
     assert got.where("ID = 2 and bin = 0 and var = 'HR'").head().num == 61
     assert with_frozen_bins(got, {"HR_value": [60.0, 70.0, 90.0]}).where("ID = 2 and bin = 0 and var = 'HR'").head().interval == 1
+
+
+def test_quantiles_by_rank_are_exact(spark):
+    rng = random.Random(9)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(3001)] + [("b", float(rng.randint(0, 3))) for _ in range(500)] + [("c", float(k)) for k in (1, 2, 3)] + [("d", None)]
+    cells = spark.createDataFrame(rows, "col string, num double").repartition(5)
+    small, large = (edges_by_column(column_profile(cells, most)) for most in (10**6, 0))
+    assert small["d"] is None and large["d"] is None
+    for name in "abc":
+        assert len(small[name]) == len(large[name]) and all(math.isclose(x, y, abs_tol=1e-12) for x, y in zip(small[name], large[name], strict=True))
+
+
+def test_plans_stay_on_the_jvm(spark, small):
+    result, _ = run(small)
+    for frame in (result.X.cells, result.S.cells, result.X.profile):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "Python" not in plan and "Arrow" not in plan
