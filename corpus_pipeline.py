@@ -24,7 +24,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the quality rules with thresholds adapted to these documents."""
-    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+    return quality_rules.judge(docs).where("__kept").select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

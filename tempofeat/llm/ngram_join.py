@@ -252,21 +252,21 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Rows without words stay, each of them. Of repeated rows with the least id
     and the same text one stays."""
     rows = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **how))
-    keyed = docs.withColumns({"_id": F.col(id_col), "_hash": F.xxhash64(text_col)})
+    keyed = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text_col)})
 
     def keys(df: DataFrame) -> DataFrame:
-        df = df.select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h")).distinct()
+        df = df.select(F.col("doc_id").alias("__k"), F.col("text_hash").alias("__h")).distinct()
         return F.broadcast(df) if df.count() <= broadcast_rows else df
 
     def within(df: DataFrame, some: DataFrame, how: str) -> DataFrame:
-        return df.join(some, df["_id"].eqNullSafe(some["_k"]) & (df["_hash"] == some["_h"]), how)
+        return df.join(some, df["__id"].eqNullSafe(some["__k"]) & (df["__hash"] == some["__h"]), how)
 
     left = within(keyed, keys(rows.where("not first")), "left_anti")
     many = rows.where("first and class is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
     if many.isEmpty():
-        return left.drop("_id", "_hash")
+        return left.drop("__id", "__hash")
     many = keys(many)
-    return within(left, many, "left_anti").unionByName(within(left, many, "left_semi").dropDuplicates(["_id", "_hash"])).drop("_id", "_hash")
+    return within(left, many, "left_anti").unionByName(within(left, many, "left_semi").dropDuplicates(["__id", "__hash"])).drop("__id", "__hash")
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -194,7 +194,10 @@ def fit(
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score in [0, 1]; a null or empty text gets the model's offset."""
+    """docs with a score in [0, 1]; a null or empty text gets the model's offset.
+
+    A column of that name is replaced; repeated rows score alike."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a number per bucket, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,9 +56,9 @@ def counts(text: str = "text") -> Column:
 
 
 def measured(docs: DataFrame, text_col: str, least_words: int, repeat_percent: int) -> DataFrame:
-    """docs with the base counts, base_failed and the measures in one struct `_q`."""
-    out = docs.withColumn("_c", counts(f"`{text_col}`"))
-    c = {k: F.col(f"_c.{k}") for k in (*BASE, "n_lines")}
+    """docs with the base counts, base_failed and the measures in one struct `__q`."""
+    out = docs.withColumn("__c", counts(f"`{text_col}`"))
+    c = {k: F.col(f"__c.{k}") for k in (*BASE, "n_lines")}
     failed = (c["n_words"] < least_words) | (100 * c["n_repeat_words"] > repeat_percent * c["n_words"])
     rate = lambda a, b: a / F.greatest(b, F.lit(1))
     measures = {
@@ -68,32 +68,32 @@ def measured(docs: DataFrame, text_col: str, least_words: int, repeat_percent: i
         "word_length": rate(c["word_chars"], c["n_words"]),
     }
     fields = [*(c[k].alias(k) for k in BASE), failed.alias("base_failed"), *(v.cast("double").alias(k) for k, v in measures.items())]
-    return out.withColumn("_q", F.struct(*fields)).drop("_c")
+    return out.withColumn("__q", F.struct(*fields)).drop("__c")
 
 
 def fences(measures: DataFrame, lang: str, source: str, least_rows: int, reach: float, k: int) -> DataFrame:
     """One row per language and source that has rows: where its measures must lie.
 
-    Base-failed documents have no say. Columns: _lang, _source, level and for
+    Base-failed documents have no say. Columns: _lang, _source, __level and for
     each measure _low_ and _high_."""
-    valid = ~F.col("_q.base_failed")
+    valid = ~F.col("__q.base_failed")
     # sketches combine on the map side, so a hot group sends one sketch per task
-    sketches = [F.kll_sketch_agg_double(F.when(valid, F.col(f"_q.{m}")), k).alias(m) for m in MEASURES]
-    groups = cut(measures.groupBy(F.col(lang).alias("_lang"), F.col(source).alias("_source")).agg(*sketches, F.count_if(valid).alias("n")))
+    sketches = [F.kll_sketch_agg_double(F.when(valid, F.col(f"__q.{m}")), k).alias(m) for m in MEASURES]
+    groups = cut(measures.groupBy(F.col(lang).alias("__lang"), F.col(source).alias("__source")).agg(*sketches, F.count_if(valid).alias("n")))
     merged = [F.kll_merge_agg_double(m, k).alias(m) for m in MEASURES]
-    langs = groups.groupBy("_lang").agg(*merged, F.sum("n").alias("n"))
+    langs = groups.groupBy("__lang").agg(*merged, F.sum("n").alias("n"))
     every = groups.agg(*merged, F.sum("n").alias("n"))
     as_ = lambda df, name: df.select(*(c for c in df.columns if c.startswith("_")), F.struct("n", *MEASURES).alias(name))
     # a row of `langs` per language and one of `every`: the first bounded by the groups, the second single
-    l = as_(langs, "of_lang").withColumnRenamed("_lang", "_l")
-    all_ = as_(groups, "of_group").join(l, F.col("_lang").eqNullSafe(F.col("_l"))).drop("_l").join(F.broadcast(as_(every, "of_all")))
+    l = as_(langs, "of_lang").withColumnRenamed("__lang", "__l")
+    all_ = as_(groups, "of_group").join(l, F.col("__lang").eqNullSafe(F.col("__l"))).drop("__l").join(F.broadcast(as_(every, "of_all")))
     level = F.when(F.col("of_group.n") >= least_rows, "source").when(F.col("of_lang.n") >= least_rows, "lang").otherwise("all")
-    chosen = all_.withColumn("level", level).withColumn("s", F.when(level == "source", F.col("of_group")).when(level == "lang", F.col("of_lang")).otherwise(F.col("of_all")))
-    out = [F.col("_lang"), F.col("_source"), F.col("level")]
+    chosen = all_.withColumn("__level", level).withColumn("s", F.when(level == "source", F.col("of_group")).when(level == "lang", F.col("of_lang")).otherwise(F.col("of_all")))
+    out = [F.col("__lang"), F.col("__source"), F.col("__level")]
     for m, least in MEASURES.items():
         q = lambda r, m=m: F.when(F.col("s.n") > 0, F.kll_sketch_get_quantile_double(F.col(f"s.{m}"), F.lit(r)))
         spread = reach * F.greatest(q(0.75) - q(0.25), F.lit(least))
-        out += [(q(0.25) - spread).alias(f"_low_{m}"), (q(0.75) + spread).alias(f"_high_{m}")]
+        out += [(q(0.25) - spread).alias(f"__low_{m}"), (q(0.75) + spread).alias(f"__high_{m}")]
     return chosen.select(*out)
 
 
@@ -111,10 +111,11 @@ def judge(
     broadcast_rows: int = 50_000,
     keep_measures: bool = False,
 ) -> DataFrame:
-    """docs with `_q` (base counts, base_failed, measures), `level` and `kept`.
+    """docs with `__q` (base counts, base_failed, measures), `__level` and `__kept`.
 
+    The three new names are all that a column of docs must not have.
     base_failed: under least_words words, or over repeat_percent of 100 of them
-    repeated. kept: not base_failed and every measure inside the fences of its
+    repeated. __kept: not base_failed and every measure inside the fences of its
     language and source (nulls are a language and a source of their own; ties at
     a fence stay). A null or empty text has no words, so it fails. Repeated rows
     count as often as they stand; an empty table gives no rows. With
@@ -123,21 +124,21 @@ def judge(
     """
     rows = measured(docs, text_col, least_words, repeat_percent)
     rows = cut(rows.drop(text_col)) if keep_measures else rows
-    limits = cut(fences(rows.select(F.col(lang_col), F.col(source_col), "_q"), lang_col, source_col, least_rows, reach, sketch))
+    limits = cut(fences(rows.select(F.col(lang_col), F.col(source_col), "__q"), lang_col, source_col, least_rows, reach, sketch))
     small = limits.count() <= broadcast_rows
     joined = rows.join(
         F.broadcast(limits) if small else limits,
-        rows[lang_col].eqNullSafe(F.col("_lang")) & rows[source_col].eqNullSafe(F.col("_source")),
+        rows[lang_col].eqNullSafe(F.col("__lang")) & rows[source_col].eqNullSafe(F.col("__source")),
         "left",
     )
     inside = F.lit(True)
     for m in MEASURES:
-        inside &= F.coalesce(F.col(f"_q.{m}").between(F.col(f"_low_{m}"), F.col(f"_high_{m}")), F.lit(True))
-    joined = joined.withColumn("kept", ~F.col("_q.base_failed") & inside)
-    return joined.drop("_lang", "_source", *(f"{s}{m}" for m in MEASURES for s in ("_low_", "_high_")))
+        inside &= F.coalesce(F.col(f"__q.{m}").between(F.col(f"__low_{m}"), F.col(f"__high_{m}")), F.lit(True))
+    joined = joined.withColumn("__kept", ~F.col("__q.base_failed") & inside)
+    return joined.drop("__lang", "__source", *(f"{s}{m}" for m in MEASURES for s in ("__low_", "__high_")))
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     judged = judge(docs, keep_measures=True)
-    return judged.select("doc_id", *(F.col(f"_q.{c}").alias(c) for c in (*BASE, "base_failed")), "kept", F.col("level").alias("fence_level"))
+    return judged.select("doc_id", *(F.col(f"__q.{c}").alias(c) for c in (*BASE, "base_failed")), F.col("__kept").alias("kept"), F.col("__level").alias("fence_level"))

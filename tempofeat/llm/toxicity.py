@@ -245,7 +245,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int
 def scored(docs: DataFrame, model: Machine, text_col: str = "text", out: str = "score", part: int = 256) -> DataFrame:
     """docs with a score in [0, 1]; a text without strings gets the machine's offset.
 
-    Repeated rows score alike; null texts count as empty; other columns stay."""
+    Repeated rows score alike; null texts count as empty; other columns stay,
+    but one of the score's name is replaced."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # subsequences of the landmarks: bounded by their number
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

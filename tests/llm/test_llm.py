@@ -190,7 +190,7 @@ def test_ngram_join(copies, how):
 
 def test_deduplicated(copies, corpus, empty):
     texts, docs = copies
-    docs = docs.withColumns({"digest": F.lit("own"), "node": F.lit(1)})
+    docs = docs.withColumns({"digest": F.lit("own"), "node": F.lit(1), "_id": F.lit("x"), "class_id": F.lit(None).cast("long"), "first": F.lit(False)})
     kept = ngram_join.deduplicated(docs)
     got = {r.doc_id: r.class_id for r in ngram_join.near_duplicates(docs).collect()}
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in got.items() if i == c)
@@ -225,14 +225,14 @@ def test_quality_rules(spark, corpus, empty):
     rng = random.Random(2)
     extra = ["a b c a b c a b c d", "a a a a", "x\nx\ny\n\nx", "#1 *2* <b>|& $%", "a b c " * 40]
     texts = [r[1] for r in rows] + extra + [prose(rng, 100) for _ in range(150)] + ["###".join(prose(rng, 100).split(" "))]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).withColumn("level", F.lit("taken"))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).withColumns({c: F.lit("taken") for c in ("level", "kept", "n", "_q", "_level", "symbol_rate")})
     for keep in (True, False):
-        got = {r.doc_id: r for r in quality_rules.judge(docs.drop("level"), keep_measures=keep).collect()}
+        got = {r.doc_id: r for r in quality_rules.judge(docs, keep_measures=keep).collect()}
         for i, t in enumerate(texts):
-            q = got[i]["_q"]
+            q = got[i]["__q"]
             assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words) == brute_base(t)
             assert q.base_failed == (q.n_words < 50 or 100 * q.n_repeat_words > 50 * q.n_words)
-        assert all(got[i].kept for i in range(len(texts) - 151, len(texts) - 1)) and not got[len(texts) - 1].kept
+        assert all(got[i]["__kept"] for i in range(len(texts) - 151, len(texts) - 1)) and not got[len(texts) - 1]["__kept"]
     assert quality_rules.judge(empty).count() == 0
 
 
@@ -281,6 +281,7 @@ def test_quality_classifier(spark):
     assert len(held) > 30 and all((r.score >= 0.3) == bool(r.doc_id % 2) for r in held) and all(0 <= r.score <= 1 for r in rows)
     kept = quality_classifier.kept(docs, model)
     assert kept.columns == docs.columns and len(rows) == 303
+    assert quality_classifier.scored(docs.withColumn("score", F.lit("own")), model).columns == ["doc_id", "text", "score"]
     nothing = quality_classifier.fit(docs, labels.limit(0))
     assert {r.score for r in quality_classifier.scored(docs, nothing).collect()} == {0.5}
     assert quality_classifier.scored(docs.limit(0), model).count() == 0
