@@ -35,6 +35,7 @@ class Matrix:
 @dataclass
 class Result:
     population: DataFrame
+    prefiltered: DataFrame
     events: DataFrame
     types: DataFrame
     S: Matrix | None
@@ -64,14 +65,16 @@ class FeaturePipeline:
         return fixed(value_types.premap_duplicates(events, types)), types, people, n
 
     def run(self, events: DataFrame, population: DataFrame) -> Result:
+        given, s = events, self.settings
         events, types, people, n = self.prepare(events, population)
+        prefiltered = prefilter.drop_rare(prefilter.in_time(prefilter.in_population(given, people), s.until), n, s.theta_1) if s.prefilter else given
         still, series = value_types.split(events)
         filled = None
         S = self._invariant(still, people, n) if not still.isEmpty() else None
         X = None
         if not series.isEmpty():
             X, filled = self._series(series, types, people, n)
-        return Result(people, events, types, S, X, filled)
+        return Result(people, prefiltered, events, types, S, X, filled)
 
     def _invariant(self, events: DataFrame, people: DataFrame, n: int) -> Matrix:
         s = self.settings
@@ -122,14 +125,14 @@ def dense(matrix: Matrix, rows: DataFrame, final: bool = True) -> DataFrame:
     return table.select(*rows.columns, *(F.coalesce(F.col(f"`{r.feature_id}`"), F.lit(r.default_value)).alias(r.name) for r in listed))
 
 
-def sparse_vectors(matrix: Matrix) -> DataFrame:
-    """row_id and an ml SparseVector of the cells that differ from the default."""
+def vectors(matrix: Matrix, rows: DataFrame) -> DataFrame:
+    """row_id and an ml vector of all features, defaults filled in: for small dictionaries."""
     from pyspark.ml.functions import array_to_vector
 
-    size = matrix.features.count()
-    pairs = matrix.cells.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("m"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0)))
-    return pairs.select("row_id", array_to_vector(full).alias("features"))
+    defaults = [r.default_value for r in matrix.features.orderBy("feature_id").collect()]
+    stored = matrix.cells.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("m"))
+    full = F.transform(F.lit(defaults), lambda d, i: F.coalesce(F.try_element_at("m", i.cast("long")), d))
+    return rows.select("row_id").join(stored, "row_id", "left").select("row_id", array_to_vector(full).alias("features"))
 
 
 def density(matrix: Matrix) -> float:
@@ -141,7 +144,7 @@ def density(matrix: Matrix) -> float:
 def write(result: Result, settings: Settings, out: str) -> None:
     """All artifacts of a run into a folder, which is created."""
     write_csv(result.population.select("ID").orderBy("ID").coalesce(1), f"{out}/IDs.csv")
-    result.events.drop("row_idx").write.mode("overwrite").parquet(f"{out}/pre-filtered.parquet")
+    result.prefiltered.drop("row_idx").write.mode("overwrite").parquet(f"{out}/pre-filtered.parquet")
     write_csv(result.types.select(F.col("var").alias("variable_name"), "value_type").orderBy("variable_name"), f"{out}/value_types.csv", quote_all=True)
     for name, m in (("S", result.S), ("X", result.X)):
         if m is None:

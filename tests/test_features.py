@@ -200,6 +200,7 @@ def test_command_line_and_files(spark, tmp_path):
 
     names = json.loads((tmp_path / "out/S.feature_names.json").read_text())
     assert names == ["SEX_value_F", "SEX_value_M"]
+    assert spark.read.parquet(str(tmp_path / "out/pre-filtered.parquet")).count() == 18
     assert "HR_value" in json.loads((tmp_path / "out/X_all.discretization.json").read_text())
 
 
@@ -232,3 +233,11 @@ def test_plans_stay_on_the_jvm(spark, small):
     for frame in (result.X.cells, result.S.cells, result.X.profile):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_vectors(small):
+    from tempofeat.plans.pipeline import vectors
+
+    result, _ = run(small, discretize=False)
+    got = {r.row_id: r.features for r in vectors(result.S, result.population.select(F.col("id_idx").alias("row_id"))).collect()}
+    assert got[3][0] == 41.0 and got[0][0] == 50.0 and len(got) == 4
