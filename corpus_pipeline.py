@@ -11,7 +11,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tempofeat.llm import decontamination, ngram_join, packing, quality_classifier, quality_rules
 
