@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempofeat.llm.shared import small_batches
+
 # A-Z to a-z, and every other byte that is not 0-9, a-z or part of a non-ASCII character to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -122,6 +124,7 @@ def longest(doc: np.ndarray, word: np.ndarray, size: np.ndarray, item: np.ndarra
 
 def _blocks(benchmark: DataFrame, width: int, item_col: str, text_col: str, block: int) -> list:
     """Broadcast tables of the benchmark, none over `block` words or one item."""
+    small_batches(benchmark.sparkSession)
     context, out, items, held = benchmark.sparkSession.sparkContext, [], [], 0
     for name, text in benchmark.select(F.col(item_col).cast("string"), text_col).toLocalIterator():
         item = words(text)

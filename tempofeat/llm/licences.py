@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempofeat.llm.shared import small_batches
+
 # Spellings that count as the same word.
 EQUIVALENT = {
     "acknowledgement": "acknowledgment",
@@ -96,6 +98,7 @@ def digests(texts: DataFrame, text_col: str = "text", out: str = "digest") -> Da
     """texts with the digest of the canonical form in place of the text.
 
     A text with no words, like a null text, has no digest: null."""
+    small_batches(texts.sparkSession)
     rest = [c for c in texts.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

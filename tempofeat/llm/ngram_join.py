@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempofeat.llm.components import connected
-from tempofeat.llm.shared import cut
+from tempofeat.llm.shared import cut, small_batches
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -201,6 +201,7 @@ def near_duplicates(
     of nodes in a component is compared, however many; of pairs at the threshold
     `recall` come to be compared, nearer ones more.
     """
+    small_batches(docs.sparkSession)
     sign = cut(signatures(docs, n, bands_for(threshold, recall), id_col, text_col))
     # one row per set; the id is fixed by the checkpoint
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")

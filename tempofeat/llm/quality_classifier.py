@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempofeat.llm.shared import small_batches
+
 GRAMS = (3, 4)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
@@ -68,7 +70,7 @@ def features(data: np.ndarray, starts: np.ndarray, buckets: int) -> tuple[np.nda
     return np.concatenate(found), np.concatenate(owner)
 
 
-def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Consecutive texts of about `most` bytes (or one longer text): first, bytes, starts."""
     if texts.null_count:
         texts = texts.fill_null("")
@@ -147,6 +149,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     Rows come in the order of a hash of their id, so that the sample is the same
     for the same rows; a text that stands twice is taken once per row. Ids are
     chosen before texts are read: no text is shuffled."""
+    small_batches(docs.sparkSession)
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     chosen = own.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most)
@@ -197,6 +200,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
     """docs with a score in [0, 1]; a null or empty text gets the model's offset.
 
     A column of that name is replaced; repeated rows score alike."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a number per bucket, whatever the input
 
@@ -209,6 +213,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that score the threshold or more."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,3 +14,14 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
     return df.checkpoint()
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Arrow batches of this session have at most `rows` rows.
+
+    Rows are whole documents: with the default of 10,000 a batch, and what both
+    sides keep of it, takes several times 30 MB in each task. A session that
+    already asks for other than the default is left alone."""
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", 10_000
+    if int(spark.conf.get(key, str(default))) == default:
+        spark.conf.set(key, str(rows))

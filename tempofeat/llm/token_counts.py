@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempofeat.llm.bpe import Tokenizer
+from tempofeat.llm.shared import small_batches
 
 
 def shrink(counts: Counter, size: int) -> Counter:
@@ -81,6 +82,7 @@ def count_tokens(
     Strings of special tokens inside texts count as the library takes them by
     default. Repeated rows and null ids stay; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     local = Tokenizer(tokenizer)
     known = frequent(texts.select("text"), tokenizer, table, longest) if local.engine else []

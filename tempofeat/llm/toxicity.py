@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempofeat.llm.quality_classifier import held_out, labelled_sample
+from tempofeat.llm.shared import small_batches
 
 SPAN, DECAY = 5, 0.8
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -247,6 +248,7 @@ def scored(docs: DataFrame, model: Machine, text_col: str = "text", out: str = "
 
     Repeated rows score alike; null texts count as empty; other columns stay,
     but one of the score's name is replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # subsequences of the landmarks: bounded by their number
 
