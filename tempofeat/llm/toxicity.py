@@ -33,10 +33,11 @@ _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _MARKS = re.compile(r"[\W_]+")
 WORST = 4  # strings of a text that decide
 LONGEST = 64  # longer strings are compared in overlapping parts
+PARTS = (10, 20, 40)  # their lengths, a step a fifth: an insult of up to 32 characters is whole in one that it mostly fills
 
 
 def strings(text: str | None) -> list[str]:
-    """The strings of a text: its words, and spelled-out letters joined."""
+    """The strings of a text: its words, and spelled-out letters joined; long ones in parts."""
     words = (text or "").lower().split()
     run, joined = [], []
     for w in words if sum(map(len, words)) < 3 * len(words) or " " not in (text or "") else ():
@@ -48,12 +49,25 @@ def strings(text: str | None) -> list[str]:
         run = []
     if len(run) > 2:
         joined.append("".join(run))
-    return words + joined
+    words += joined
+    return words if max(map(len, words), default=0) <= LONGEST else [p for w in words for p in parts(w)]
+
+
+def parts(word: str) -> list[str]:
+    """The word, or of a long one the pieces between marks and overlapping parts of all without marks."""
+    if len(word) <= LONGEST:
+        return [word]
+    pieces = _MARKS.sub(" ", word).split()
+    bare = "".join(pieces)
+    if len(bare) <= LONGEST:
+        return [word]
+    windows = [bare[k : k + n] for n in PARTS for k in range(0, len(bare) - n + n // 5, n // 5)]
+    return [p for p in pieces if len(p) <= LONGEST] + windows
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which word, which subsequence (a key), and its decayed weight; each pair once."""
-    framed = ["\x02\x02" + _MARKS.sub("", w)[:LONGEST] + "\x03" for w in words]
+    framed = ["\x02\x02" + _MARKS.sub("", w) + "\x03" for w in words]
     data = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     size = np.array([len(w) for w in framed], dtype=np.int64)
     word = np.repeat(np.arange(len(framed)), size)
@@ -217,14 +231,14 @@ class Scorer:
         self.model, self.most, self.known = model, most, {}
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        parts = [strings(t) for t in texts]
-        new = list(set().union(*parts) - self.known.keys())
+        found = [strings(t) for t in texts]
+        new = list(set().union(*found) - self.known.keys())
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = list(set().union(*parts))
+            new = list(set().union(*found))
         self.known.update(zip(new, self.model.margins(new).tolist(), strict=True))
         get = self.known.__getitem__
-        tops = [highest(np.fromiter(map(get, p), dtype=float, count=len(p)), self.model.bias) for p in map(set, parts)]
+        tops = [highest(np.fromiter(map(get, p), dtype=float, count=len(p)), self.model.bias) for p in map(set, found)]
         return self.model.score(np.stack(tops)) if tops else np.zeros(0)
 
 

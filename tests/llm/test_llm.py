@@ -312,6 +312,24 @@ def test_toxicity(spark):
     assert toxicity.scored(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_behind_the_longest_string():
+    rng = random.Random(5)
+
+    def bad():
+        w = prose(rng, 40).split()
+        return " ".join([*w[:20], rng.choice(["grumbel", "zorkit", "plaffo", "krambolaskivontari"]), *w[20:]])
+
+    texts = [prose(rng, 40) if i % 2 else bad() for i in range(300)]
+    score = toxicity.Scorer(toxicity.train([toxicity.strings(t) for t in texts], np.arange(300) % 2 == 0, landmarks=64))
+    for glue in ("", "_", "-", "/"):
+        clean = [prose(rng, 30).replace(" ", glue) for _ in range(60)]
+        toxic = [t[: 70 + i] + glue + ("grumbel", "plaffo", "krambolaskivontari")[i % 3] + glue + t[70 + i :] for i, t in enumerate(clean)]
+        assert (score(clean) < 0.3).mean() > 0.95 and (score(toxic) >= 0.3).mean() > 0.95
+    long = "".join(map(chr, range(0x4E00, 0x4E00 + 1001)))
+    assert all(any(long[k : k + 32] in p for p in toxicity.strings(long)) for k in range(1001 - 31))
+    assert toxicity.strings("a" * 64) == ["a" * 64] and toxicity.strings("-" * 99 + " B") == ["-" * 99, "b"]
+
+
 def test_subsequence_kernel():
     def brute(s, t):
         def phi(w):
