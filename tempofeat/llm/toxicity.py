@@ -37,18 +37,15 @@ PARTS = (10, 20, 40)  # their lengths, a step a fifth: an insult of up to 32 cha
 
 
 def strings(text: str | None) -> list[str]:
-    """The strings of a text: its words, and spelled-out letters joined; long ones in parts."""
+    """The strings of a text: its words, and each run of three or more one-letter words joined; long ones in parts."""
     words = (text or "").lower().split()
-    run, joined = [], []
-    for w in words if sum(map(len, words)) < 3 * len(words) or " " not in (text or "") else ():
-        if len(w) == 1:
-            run.append(w)
-            continue
-        if len(run) > 2:
-            joined.append("".join(run))
-        run = []
-    if len(run) > 2:
-        joined.append("".join(run))
+    letters = [i for i, w in enumerate(words) if len(w) == 1]
+    joined, begin = [], 0
+    for k in range(1, len(letters) + 1):
+        if k == len(letters) or letters[k] != letters[k - 1] + 1:
+            if k - begin > 2:
+                joined.append("".join(words[letters[begin] : letters[k - 1] + 1]))
+            begin = k
     words += joined
     return words if max(map(len, words), default=0) <= LONGEST else [p for w in words for p in parts(w)]
 

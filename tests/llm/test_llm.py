@@ -312,6 +312,21 @@ def test_toxicity(spark):
     assert toxicity.scored(docs.limit(0), model).count() == 0
 
 
+def test_spelled_out_letters_in_long_prose(spark):
+    def bad(rng):
+        w = prose(rng, 40).split()
+        w[rng.randrange(40)] = rng.choice(["grumbel", "zorkit", "plaffo"])
+        return " ".join(w)
+
+    score = toxicity.Scorer(toxicity.fit(*labelled(spark, bad), landmarks=64))
+    rng = random.Random(6)
+    clean = [prose(rng, 150) for _ in range(20)]
+    assert (score(clean) < 0.3).all() and (score([t + " g r u m b e l " + t for t in clean]) >= 0.3).all()
+    assert toxicity.strings("A b c\nlonger d e") == ["a", "b", "c", "longer", "d", "e", "abc"]
+    assert toxicity.strings("words x y z") == ["words", "x", "y", "z", "xyz"]
+    assert "zyx" * 40 not in toxicity.strings("prose " + "z y x " * 40) and "zyxzyxzyxz" in toxicity.strings("prose " + "z y x " * 40)
+
+
 def test_toxicity_behind_the_longest_string():
     rng = random.Random(5)
 
