@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +64,7 @@ EQUIVALENT = {
     "https": "http",
 }
 
-# Short public licence texts and notices by identifier.
+# Public licence texts and notices by identifier; forms() adds the long ones and other usual forms.
 KNOWN = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -76,6 +77,15 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
 }
 
+# Lines that files put above a licence's text.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "BSD License"),
+}
+
 _COPYRIGHT = re.compile(r"^\W*(portions )?(copyright\b|©|\(c\)\s|all rights reserved).*$", re.MULTILINE)
 _MARKS = ("copyright", "©", "(c)", "all rights reserved")
 _ODD = re.compile(r"[\W_]+")
@@ -90,6 +100,32 @@ def canonical(text: str) -> str:
     return " ".join([get(w, w) for w in _ODD.sub(" ", text).split()])
 
 
+def forms(name: str, text: str) -> dict[str, str]:
+    """A licence's text and the usual other forms that have another canonical text.
+
+    Their names are the licence's with ": " and what is different. The forms
+    are: one line a paragraph (lines that begin with "copyright" differ by
+    wrapping), nothing after the end of the terms, bullets for numbers (BSD),
+    and the titles of TITLES above each of these."""
+    out = {name: text}
+    for label, change in (
+        ("without appendix", lambda t: t[: t.index(_END) + len(_END)] if _END in t else t),
+        ("bullets", lambda t: re.sub(r"(?m)^\s*\d\. ", "* ", t) if name.startswith("BSD") else t),
+        ("unwrapped", lambda t: re.sub(r"[^\S\n]*\n(?!\s*(\n|\d\. |\* |copyright \(c\)))[^\S\n]*", " ", t, flags=re.IGNORECASE)),
+    ):
+        out |= {f"{k}, {label}" if ":" in k else f"{k}: {label}": change(t) for k, t in out.items()}
+    out |= {f"{k}, {title}" if ":" in k else f"{k}: {title}": f"{title}\n\n{t}" for k, t in out.items() for title in TITLES.get(name, ())}
+    first: dict[str, str] = {}
+    for k, t in out.items():
+        first.setdefault(canonical(t), k)
+    return {k: out[k] for k in first.values()}
+
+
+_END = "END OF TERMS AND CONDITIONS"
+KNOWN |= {p.name.removesuffix(".txt"): p.read_text("utf-8") for p in sorted(files("tempofeat.llm").joinpath("licence_texts").iterdir(), key=lambda p: p.name) if p.name.endswith(".txt")}
+KNOWN = {form: text for name, own in KNOWN.items() for form, text in forms(name, own).items()}
+
+
 def digest(text: str) -> str:
     return hashlib.sha256(canonical(text).encode()).hexdigest()
 

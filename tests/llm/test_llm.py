@@ -266,6 +266,24 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0), both).count() == 0
 
 
+def test_licence_files(spark):
+    import duckdb
+
+    from tempofeat.llm import queries
+
+    whole = [k for k in licences.KNOWN if ":" not in k and "notice" not in k]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSL-1.0", "MIT", "ISC"} == set(whole)
+    rows = [(k, "Copyright 2020 Someone\n\n" + t) for k, t in licences.KNOWN.items()] + [(k, licences.KNOWN[k].upper()) for k in whole]
+    rows += [("MIT: MIT License", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + licences.KNOWN["MIT"]), ("ISC: ISC License", "ISC License\n\n(c) 2020 Someone\n\n" + licences.KNOWN["ISC"]), (None, "A title of its own\n\n" + licences.KNOWN["MIT"])]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = sorted(licences.scan(docs, licences.licence_table(spark)).collect())
+    assert [r.licence for r in got] == [k for k, _ in rows]
+    base = duckdb.connect()
+    base.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    base.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (_, t) in enumerate(rows)])
+    assert sorted(base.execute(queries.SQL["op10_licence_scan"]).fetchall()) == [tuple(r) for r in got]
+
+
 def labelled(spark, bad, n=300):
     rng = random.Random(4)
     rows = [(i, prose(rng, 40) if i % 2 else bad(rng)) for i in range(n)]
