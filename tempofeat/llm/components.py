@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempofeat.llm.shared import cut
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node and component (the least node in it) of every node of edges (u, v).
 
     Loops and repeated edges do no harm; no edges give no rows. Every round
     joins each node's neighbours to the least of them, first all larger ones,
     then all smaller ones, until nothing changes; the edges then are stars. No
     group is gathered anywhere: minima combine on the map side, and joins on a
-    hub can be split. Each round's edges are checkpointed.
+    hub can be split. Each round's edges are checkpointed. If `rounds` is given
+    and they run out before that, an error is raised.
     """
     star = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
-    for _ in range(rounds):
+    for done in count():
         state = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if tuple(state) == seen or not state[0]:
             break
+        if done == rounds:
+            raise RuntimeError(f"components have not settled in {rounds} rounds")
         seen = tuple(state)
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

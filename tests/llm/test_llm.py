@@ -206,6 +206,14 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {300 + i: 300 for i in range(30)}
 
 
+def test_components_are_whole_or_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    with pytest.raises(RuntimeError, match="settled"):
+        connected(path, rounds=2)
+    assert {r.component for r in connected(path).collect()} == {0}
+    assert connected(path.limit(0), rounds=0).count() == 0
+
+
 def test_bands():
     bands, rows = ngram_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 256
