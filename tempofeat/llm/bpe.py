@@ -12,6 +12,14 @@ from collections.abc import Callable
 _SPLITTABLE = "\x00-՗֐-ࢎऀ-౛‐-⁠　-鿿가-힣＀-￯"
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The engine's split runs out of stack in longer runs of white space; texts with one go through the library.
+LONGEST_RUN = 100_000
+_RUN = re.compile(r"\s+")
+
+
+def beyond_engine(text: str) -> bool:
+    """Whether the text has a run of white space that the merge engine cannot split."""
+    return len(text) > LONGEST_RUN and any(len(run) > LONGEST_RUN for run in _RUN.findall(text))
 
 
 def resolve(name: str) -> str:
@@ -84,11 +92,11 @@ class Tokenizer:
         self.pattern = BYTE_LEVEL
 
     def ids(self, text: str) -> list[int]:
-        return self.engine.encode(text, allowed_special="all") if self.engine else self.library(text)
+        return self.engine.encode(text, allowed_special="all") if self.engine and not beyond_engine(text) else self.library(text)
 
     def piece_length(self, piece: str) -> int:
         """Tokens of one pre-token."""
-        return len(self.engine.encode_ordinary(piece))
+        return len(self.library(piece) if beyond_engine(piece) else self.engine.encode_ordinary(piece))
 
     def splitter(self) -> Callable[[str], list[str] | None] | None:
         """Pre-tokens of a text, or None for a text that must be encoded whole.

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tempofeat.llm.bpe import Tokenizer
 from tempofeat.llm.shared import small_batches
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
+SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
 
 class Packer:
@@ -94,9 +94,11 @@ def pack(
 
     Each document becomes its token ids and then `end_id`; a null or empty text
     is just `end_id`. Pieces partition the ids of every row, repeated rows and
-    null ids included; other columns are ignored. sequence_id is unique over
-    the whole result: the partition in the upper bits. An empty table gives no
-    rows. `block` sequences at a time are held in memory.
+    null ids included; ids keep their type, other columns are ignored.
+    sequence_id is unique over the whole result: the partition in the upper
+    bits, so it depends on how the input is split. A very long text fills
+    sequences of its own and shares its last one. An empty table gives no rows.
+    `block` sequences at a time are held in memory, and one text's ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +106,8 @@ def pack(
 
         encode, packer = Tokenizer(tokenizer).ids, Packer(capacity, linear, quadratic, block)
         high = TaskContext.get().partitionId() << 32
-        types = [pa.int64()] * 7 + [pa.float64()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
+        types = [None] + [pa.int64()] * 6 + [pa.float64()]
 
         def batch(rows):
             columns = list(zip(*rows, strict=True))
@@ -113,6 +115,7 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for b in batches:
+            types[0] = b.schema[0].type
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
                 if rows := packer.add(doc_id, ids):
@@ -121,7 +124,8 @@ def pack(
             yield batch(rows)
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, SCHEMA.format(dict(rows.dtypes)["doc_id"]))
 
 
 def op8_cost_packing(spark, sf_dir: str) -> DataFrame:

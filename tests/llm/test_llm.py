@@ -65,6 +65,17 @@ def test_packing(corpus, empty):
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "a", "\n" * 1_000_000, "a" * 1_000_000, "x" + " \t" * 200_000 + "<|endoftext|> y"])
+def test_long_runs(spark, text):
+    docs = spark.createDataFrame([("A3", text), (None, "short")], "doc_id string, text string").withColumn("length", F.lit("own"))
+    want = bpe.Tokenizer("byte_bpe_50k.json").library(text)
+    counted = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs).collect()}
+    assert counted["A3"] == len(want)
+    packed = packing.pack(docs).where("doc_id = 'A3'").orderBy("start").collect()
+    ids = np.array([*want, 1], dtype="<u4")
+    assert sum(p.length for p in packed) == len(ids) and all(zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in packed)
+
+
 def test_balanced_costs():
     packer = packing.Packer(100, 1.0, 1.0, 1000)
     for n in (60, 60, 40, 40, 30, 30, 20, 20):
