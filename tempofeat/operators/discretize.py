@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempofeat.operators.numbering import fixed
+from tempofeat.storage import fixed
 
 SHARES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 #: Columns of more numbers get their quantiles by ranks instead of one buffer.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempofeat.functions.values import exceeded, interval, interval_labels, number_text
-from tempofeat.operators.numbering import fixed
+from tempofeat.storage import fixed
 from tempofeat.operators.temporal import MASK
 
 INTERVAL, ABOVE, TEXT, NUMBER = range(4)

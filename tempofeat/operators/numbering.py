@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def fixed(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the shared checkpoint folder.
-
-    What depends on how rows fell into partitions must not be computed twice."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint()
+from tempofeat.storage import fixed
 
 
 def numbered(population: DataFrame, first: int | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempofeat.operators.numbering import fixed
+from tempofeat.storage import fixed
 
 #: A correlation counts as perfect if it is this close to 1 or -1.
 CLOSE = 1e-8 + 1e-5

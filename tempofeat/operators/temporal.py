@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tempofeat.config import Settings
 from tempofeat.functions.statistics import statistic
 from tempofeat.functions.values import time_bin, to_double
-from tempofeat.operators.numbering import fixed
+from tempofeat.storage import fixed
 
 #: Places of the groups of columns.
 PLAIN, MASK, DELTA, VALUE, STATS = range(5)

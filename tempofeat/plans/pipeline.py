@@ -12,8 +12,9 @@ from tempofeat.config import Settings
 from tempofeat.functions.values import time_label
 from tempofeat.operators import encode, hierarchy, invariant, postfilter, prefilter, temporal, value_types
 from tempofeat.operators.discretize import edges_by_column
-from tempofeat.operators.numbering import fixed, numbered
+from tempofeat.operators.numbering import numbered
 from tempofeat.sources.writers import write_csv, write_features
+from tempofeat.storage import fixed
 
 log = logging.getLogger(__name__)
 
