@@ -47,7 +47,14 @@ _MEASURES = {
     "repeat_rate": "n_repeat_words / greatest(n_words, 1)",
     "word_length": "word_chars / greatest(n_words, 1)",
 }
-_FENCES = ", ".join(f"quantile_disc({m}, 0.25) FILTER (NOT base_failed) AS a_{m}, quantile_disc({m}, 0.75) FILTER (NOT base_failed) AS b_{m}" for m in _MEASURES)
+def _bucket(x: str) -> str:
+    """The lower edge of the sketch bucket of x."""
+    arms = " ".join(f"WHEN {x} < {bound!r}::DOUBLE THEN floor({x} / {width!r}::DOUBLE) * {width!r}::DOUBLE" for bound, width in quality_rules.WIDTHS[:-1])
+    last = quality_rules.WIDTHS[-1][1]
+    return f"CASE {arms} ELSE floor({x} / {last!r}::DOUBLE) * {last!r}::DOUBLE END"
+
+
+_FENCES = ", ".join(f"quantile_disc({_bucket(m)}, 0.25) FILTER (NOT base_failed) AS a_{m}, quantile_disc({_bucket(m)}, 0.75) FILTER (NOT base_failed) AS b_{m}" for m in _MEASURES)
 _INSIDE = " AND ".join(f"coalesce({m} BETWEEN a_{m} - 3.0::DOUBLE * greatest(b_{m} - a_{m}, {least}::DOUBLE) AND b_{m} + 3.0::DOUBLE * greatest(b_{m} - a_{m}, {least}::DOUBLE), true)" for m, least in quality_rules.MEASURES.items())
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -244,9 +244,11 @@ def test_quality_rules(spark, corpus, empty):
     rng = random.Random(2)
     extra = ["a b c a b c a b c d", "a a a a", "x\nx\ny\n\nx", "#1 *2* <b>|& $%", "a b c " * 40]
     texts = [r[1] for r in rows] + extra + [prose(rng, 100) for _ in range(150)] + ["###".join(prose(rng, 100).split(" "))]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).withColumns({c: F.lit("taken") for c in ("level", "kept", "n", "_q", "_level", "symbol_rate")})
-    for keep in (True, False):
-        got = {r.doc_id: r for r in quality_rules.judge(docs, keep_measures=keep).collect()}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).withColumns({c: F.lit("taken") for c in ("level", "kept", "n", "_q", "_level", "symbol_rate", "__c", "__lang", "counts", "fence", "fence_lang", "_Fence", "q", "__kept")})
+    for drop in (True, False):
+        judged = quality_rules.judge(docs, drop_text=drop)
+        assert set(judged.columns) == {*docs.columns, "__q", "__level", "__kept"} - ({"text"} if drop else set())
+        got = {r.doc_id: r for r in judged.collect()}
         for i, t in enumerate(texts):
             q = got[i]["__q"]
             assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words) == brute_base(t)
@@ -255,6 +257,24 @@ def test_quality_rules(spark, corpus, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_fences_of_large_groups(spark):
+    rng = random.Random(7)
+    rows = [("en", "a", rng.gauss(5, 1)) for _ in range(20_000)] + [("en", "b", rng.gauss(6, 1)) for _ in range(40)] + [(None, None, rng.random() * 1e6) for _ in range(300)]
+    rows = [(lang, source, max(x, 0.0)) for lang, source, x in rows]
+    q = F.struct(F.lit(False).alias("base_failed"), *(F.col("x").alias(m) for m in quality_rules.MEASURES))
+    measures = spark.createDataFrame(rows, "lang string, source string, x double").select("lang", "source", q.alias("q"))
+    first = sorted(quality_rules.fences(measures.repartition(3), 100, 1.0).collect(), key=str)
+    assert first == sorted(quality_rules.fences(measures.repartition(11), 100, 1.0).collect(), key=str)
+    got = {(r.lang, r.source): r.fence for r in first}
+    assert [got[k].level for k in (("en", "a"), ("en", "b"), (None, None))] == ["source", "lang", "source"]
+    for key, within in ((("en", "a"), {("en", "a")}), (("en", "b"), {("en", "a"), ("en", "b")}), ((None, None), {(None, None)})):
+        own = sorted(x for lang, source, x in rows if (lang, source) in within)
+        a, b = (own[-(-len(own) * k // 4) - 1] for k in (1, 3))
+        spread = got[key].high_word_length - got[key].low_word_length
+        assert abs(spread - 3 * (b - a)) <= 3 * (a + b) / 64 and abs(got[key].low_word_length - (a - (b - a))) <= 3 * b / 64
+    assert quality_rules.fences(measures.limit(0), 100, 1.0).count() == 0
+
+
 def test_url_filter(spark):
     urls = ["http://a.COM/en/7?x", "https://example.com/en/77", "ftp://example.com/en/8", "http://x.example.net/de/8#f", "http://net/de/1", "http://org/es", "no scheme", None, "http://", "http://com", "http://notcom/en/1", "://com/en/"]
     pages = spark.createDataFrame([*enumerate(urls), (0, urls[0])], "page_id long, url string")
