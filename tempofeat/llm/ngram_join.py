@@ -5,12 +5,16 @@
    equal sets are one node.
 2. Nodes are shuffled on their band hashes. In each bucket nodes are tied to the
    least one; the components of these ties hold all candidate pairs.
-3. Each node's text goes once to its component, and there every pair is
-   verified on the full n-gram sets by an inverted index. A component beyond a
-   size is cut into blocks, and every pair of blocks is a task of its own.
+3. A component of one block or less is one group: each of its texts goes there
+   once. Of a larger one the buckets of its bands are the groups, so that
+   each text goes to as many groups as it has shared bands, however large the
+   component; a pair counts in its first common bucket alone. Where the buckets
+   themselves are so full that fewer texts move if the component is taken as one
+   group (many near copies of one text), it is. A group beyond a block is cut
+   into blocks, and every pair of blocks is a task of its own.
+4. In each task pairs are verified on the full n-gram sets by an inverted index.
    Verified links are counted per node and handed on as spanning trees, never
-   as pairs.
-4. Components of the verified links are the classes.
+   as pairs. Components of the verified links are the classes.
 """
 
 from __future__ import annotations
@@ -21,23 +25,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempofeat.llm.components import connected
-from tempofeat.llm.shared import cut, small_batches
+from tempofeat.llm.shared import cut, small_batches, unused
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def bands_for(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
     """Bands and rows: of all that reach the recall at the threshold within `most`
-    hashes, those with the most rows, which let the fewest dissimilar pairs pass."""
-    for rows in range(16, 1, -1):
-        bands = int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
-        if bands * rows <= most:
-            return bands, rows
-    return most, 1
+    hashes, those with the most rows, which let the fewest dissimilar pairs pass.
+
+    An error where none does."""
+    for rows in range(16, 0, -1):
+        if 1 - (1 - threshold**rows) ** (most // rows) >= recall:
+            return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows))), rows
+    raise ValueError(f"no bands of {most} hashes reach a recall of {recall} at {threshold}")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -47,10 +52,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def ngrams(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-grams of white-space words.
+    """Sorted distinct 64-bit hashes of the n-grams of words: runs of other than ASCII white space.
 
     A text of fewer words, but not none, has one: all its words."""
-    words = (text or "").split()
+    words = (text or "").encode().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
     h = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
@@ -86,10 +91,12 @@ class MinHash:
         return out.view(np.int64)
 
 
-def verified(sets: list[np.ndarray], side: np.ndarray | None, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def verified(sets: list[np.ndarray], side: np.ndarray | None, weight: np.ndarray, threshold: float, bands: np.ndarray | None = None, band: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Of each set: the weight of those it is linked with, and the root of its tree.
 
-    side: None to compare all with all, else only sets of different sides."""
+    side: None to compare all with all, else only sets of different sides.
+    bands: where given, a row of band hashes for each set, and only pairs whose
+    first common one is `band` count."""
     m, size = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
     links, root = np.zeros(m, dtype=np.int64), np.arange(m)
     owner = np.repeat(np.arange(m), size)
@@ -119,6 +126,8 @@ def verified(sets: list[np.ndarray], side: np.ndarray | None, weight: np.ndarray
         common = np.bincount(holders[where], minlength=m)
         near = np.flatnonzero((common > 0) & (common / np.maximum(size[i] + size - common, 1) >= threshold))
         near = near[near > i] if side is None else near[(near > i) & (side[near] != side[i])]
+        if bands is not None:
+            near = near[np.argmax(bands[near] == bands[i], axis=1) == band]
         links[i] += weight[near].sum()
         links[near] += weight[i]
         for j in near.tolist():
@@ -147,8 +156,11 @@ def signatures(docs: DataFrame, n: int, plan: tuple[int, int], id_col: str, text
 
 
 def verify(texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """node, root and links of the nodes of each task (component, left, right)."""
-    names = ["node", "component", "left", "right", "block", "copies", "text"]
+    """node, root and links of the nodes of each task (group, band, left, right).
+
+    band: null where the group is a component, else that of the bucket; then
+    the nodes come with the hashes of all their bands."""
+    keys, names = ["group", "band", "left", "right"], ["node", "block", "copies", "bands", "text"]
     schema = "node long, root long, links long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,25 +168,52 @@ def verify(texts: DataFrame, n: int, threshold: float) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             node = np.array([r[0] for r in held], dtype=np.int64)
-            block = np.array([r[1] for r in held])
-            side = None if task[1] == task[2] else block
-            links, root = verified([r[3] for r in held], side, np.array([r[2] for r in held], dtype=np.int64), threshold)
+            side = None if task[2] == task[3] else np.array([r[1] for r in held])
+            bands = None if task[1] is None else np.stack([r[3] for r in held])
+            links, root = verified([r[4] for r in held], side, np.array([r[2] for r in held], dtype=np.int64), threshold, bands, task[1])
             return pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root]), pa.array(links)], ["node", "root", "links"])
 
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in names[:-1]]
-            for node, component, left, right, block, copies, text in zip(*columns, b.column("text"), strict=True):
-                if (component, left, right) != task:
+            columns = [b.column(c).to_pylist() for c in (*keys, "node", "block", "copies")]
+            for *own, node, block, copies, bands, text in zip(*columns, b.column("bands"), b.column("text"), strict=True):
+                if own != task:
                     if held:
                         yield close()
-                    task, held = (component, left, right), []
-                held.append((node, block, copies, ngrams(text.as_py(), n)))
+                    task, held = own, []
+                held.append((node, block, copies, None if own[1] is None else bands.values.to_numpy(), ngrams(text.as_py(), n)))
         if held:
             yield close()
 
     # nodes in order, so that the root of a tree is its least node
-    keys = ["component", "left", "right"]
-    return texts.select(*names).repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, schema)
+    return texts.select(*keys, *names).repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, schema)
+
+
+def blocks_of(count: Column, grams: Column, block: int, block_grams: int) -> Column:
+    """How many blocks a group is cut into: one holds a whole small group; of more, each is half as large, as tasks take two."""
+    n = F.greatest(F.ceil(count / block), F.ceil(grams / block_grams)).cast("int")
+    return F.when(n > 1, 2 * n).otherwise(1)
+
+
+def groups(nodes: DataFrame, candidates: DataFrame, block: int, block_grams: int) -> DataFrame:
+    """group, band, blocks of each node that has candidates: where its pairs are verified."""
+    members = candidates.join(nodes.select("node", "n_grams"), "node")
+    cut_in = blocks_of(F.count("*"), F.sum("n_grams"), block, block_grams)
+    sizes = cut(members.groupBy("component").agg(cut_in.alias("blocks"), F.count("*").alias("n")))
+    whole = members.join(sizes.where("blocks = 1"), "component").select("node", F.col("component").alias("group"), F.lit(None).cast("int").alias("band"), "blocks")
+    large = sizes.where("blocks > 1")
+    if large.isEmpty():
+        return whole
+    # the nodes of large components in their buckets
+    own = members.join(large.select("component"), "component").select("node", "component", "n_grams")
+    banded = own.join(nodes.select("node", "bands"), "node").select("node", "component", "n_grams", F.posexplode("bands").alias("band", "group"))
+    buckets = banded.groupBy("group", "band", "component").agg(cut_in.alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    buckets = cut(buckets)
+    # texts that move: each node once per block it meets
+    moved = buckets.groupBy("component").agg(F.sum(F.col("n") * F.col("blocks")).alias("by_bucket"))
+    choice = cut(large.join(moved, "component").withColumn("bucketed", F.col("by_bucket") < F.col("n") * F.col("blocks")))
+    full = members.join(choice.where("not bucketed").select("component", "blocks"), "component").select("node", F.col("component").alias("group"), F.lit(None).cast("int").alias("band"), "blocks")
+    chosen = buckets.join(choice.where("bucketed").select("component"), "component", "left_semi").select("group", "band", "blocks")
+    return whole.unionByName(full).unionByName(banded.join(chosen, ["group", "band"]).select("node", "group", "band", "blocks"))
 
 
 def near_duplicates(
@@ -197,9 +236,10 @@ def near_duplicates(
     with this one, copies included; first marks the rows of the class's least
     (doc_id, text). A text without words, null too, is linked with nothing. Texts
     of fewer than n words are one n-gram. Repeated rows are copies; null ids are
-    larger than all others, and a class of nulls alone has a null id. Every pair
-    of nodes in a component is compared, however many; of pairs at the threshold
-    `recall` come to be compared, nearer ones more.
+    larger than all others, and a class of nulls alone has a null id. A very
+    long text is compared whole; an empty table gives no rows; other columns
+    are ignored. Every pair that shares a band is compared, however many; of
+    pairs at the threshold `recall` come to be compared, nearer ones more.
     """
     small_batches(docs.sparkSession)
     sign = cut(signatures(docs, n, bands_for(threshold, recall), id_col, text_col))
@@ -213,24 +253,24 @@ def near_duplicates(
     ties = banded.join(hubs, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     candidates = connected(ties)
 
-    members = candidates.join(nodes.select("node", "key", "copies", "n_grams"), "node")
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
-    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("grams") / block_grams)).cast("int")
-    # one block holds a whole small component; of more, each is half as large, as tasks take two
-    sizes = sizes.select("component", F.when(blocks > 1, 2 * blocks).otherwise(1).alias("blocks"))
-    members = cut(members.join(sizes, "component").select("node", "component", "copies", "key.doc_id", "key.text_hash", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
-    count, most = members.agg(F.count("*"), F.coalesce(F.max("blocks"), F.lit(0))).head()
+    placed = groups(nodes, candidates, block, block_grams).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    tasks = placed.groupBy("node").agg(F.collect_list(F.struct("group", "band", "blocks", "block")).alias("tasks"))  # at most one for each band
+    bands = F.when(F.exists("tasks", lambda t: t["band"].isNotNull()), F.col("bands")).alias("bands")
+    members = cut(tasks.join(nodes.select("node", "key", "copies", "bands"), "node").select("node", "copies", "key.doc_id", "key.text_hash", bands, "tasks"))
+    count, most = members.agg(F.count("*"), F.coalesce(F.max(F.size("tasks") + F.col("tasks")[0]["blocks"]), F.lit(0))).head()
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    wanted = F.broadcast(members) if count <= broadcast_rows else members
+    keys = members.select("node", "doc_id", "text_hash")  # three numbers a row, counted
+    wanted = F.broadcast(keys) if count <= broadcast_rows else keys
     same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"])
-    found = texts.join(wanted, same).select("node", "component", "copies", "blocks", "block", "text").dropDuplicates(["node"])
+    found = texts.join(wanted, same).select("node", "text").dropDuplicates(["node"]).join(members.select("node", "copies", "bands", "tasks"), "node")
+    each = found.select("node", "copies", "bands", "text", F.explode("tasks").alias("t")).select("node", "copies", "bands", "text", "t.*")
     pair = lambda j: F.struct(F.least("block", j).alias("left"), F.greatest("block", j).alias("right"))
-    found = found.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
-    judged = cut(verify(found.select("*", "pair.*"), n, threshold))
+    each = each.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
+    judged = cut(verify(each.select("*", "pair.*"), n, threshold))
 
     links = judged.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
-    if most > 1:  # trees of several tasks meet in nodes they share
+    if most > 2:  # trees of several tasks meet in nodes they share
         links = links.drop("root").join(connected(judged.select(F.col("node").alias("u"), F.col("root").alias("v"))).withColumnRenamed("component", "root"), "node", "left")
     judged_nodes = nodes.select("digest", "node", "key", "copies").join(links, "node", "left").withColumn("class", F.coalesce("root", "node"))
     least = judged_nodes.groupBy("class").agg(F.min("key").alias("least"))
@@ -253,21 +293,23 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Rows without words stay, each of them. Of repeated rows with the least id
     and the same text one stays."""
     rows = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **how))
-    keyed = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text_col)})
+    own_id, own_hash, k, h = unused(docs.columns, "dup_id", "dup_hash", "key_id", "key_hash")
+    keyed = docs.withColumns({own_id: F.col(id_col), own_hash: F.xxhash64(text_col)})
 
     def keys(df: DataFrame) -> DataFrame:
-        df = df.select(F.col("doc_id").alias("__k"), F.col("text_hash").alias("__h")).distinct()
+        df = df.select(F.col("doc_id").alias(k), F.col("text_hash").alias(h)).distinct()
         return F.broadcast(df) if df.count() <= broadcast_rows else df
 
     def within(df: DataFrame, some: DataFrame, how: str) -> DataFrame:
-        return df.join(some, df["__id"].eqNullSafe(some["__k"]) & (df["__hash"] == some["__h"]), how)
+        return df.join(some, F.col(own_id).eqNullSafe(F.col(k)) & (F.col(own_hash) == F.col(h)), how)
 
     left = within(keyed, keys(rows.where("not first")), "left_anti")
     many = rows.where("first and class is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
     if many.isEmpty():
-        return left.drop("__id", "__hash")
+        return left.drop(own_id, own_hash)
     many = keys(many)
-    return within(left, many, "left_anti").unionByName(within(left, many, "left_semi").dropDuplicates(["__id", "__hash"])).drop("__id", "__hash")
+    once = within(left, many, "left_semi").dropDuplicates([own_id, own_hash])
+    return within(left, many, "left_anti").unionByName(once).drop(own_id, own_hash)
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

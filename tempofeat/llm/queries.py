@@ -133,7 +133,7 @@ d AS (SELECT doc_id, nullif(sha256({_canonical("text")}), sha256('')) AS digest
 SELECT doc_id, digest, licence, licence IS NOT NULL AS is_licence FROM d LEFT JOIN known USING (digest)
 """,
     "op6_ngram_jaccard_join": r"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS MATERIALIZED (
   SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
 sizes AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),

@@ -168,7 +168,7 @@ def test_longest_match(spark):
 
 
 def brute_links(texts, threshold=0.8, n=5):
-    sets = [frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if (w := (t or "").split()) else frozenset() for t in texts]
+    sets = [frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if (w := (t or "").encode().split()) else frozenset() for t in texts]
     links = {i: {j for j in range(len(sets)) if j != i and sets[i] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold} for i in range(len(sets))}
     return links
 
@@ -188,7 +188,7 @@ def copies(spark):
     return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
 
 
-@pytest.mark.parametrize("how", [{}, {"block": 4}, {"broadcast_rows": 0}])
+@pytest.mark.parametrize("how", [{}, {"block": 4}, {"broadcast_rows": 0}, {"block": 2, "broadcast_rows": 0}])
 def test_ngram_join(copies, how):
     texts, docs = copies
     links = brute_links(texts)
@@ -199,9 +199,25 @@ def test_ngram_join(copies, how):
     assert got == {i: (label[i], len(links[i])) for i in range(len(texts))}
 
 
+def test_a_chain_moves_each_text_a_bounded_number_of_times(spark):
+    # each text shares some bands with the next, and the whole is one component
+    rng = random.Random(12)
+    words = [f"w{rng.random()}" for _ in range(1200 * 4 + 60)]
+    texts = [" ".join(words[4 * k : 4 * k + 50]) for k in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [set(ngram_join.ngrams(t, 5).tolist()) for t in texts]
+    want = {k: sum(len(sets[k] & sets[j]) / len(sets[k] | sets[j]) >= 0.8 for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < 1200) for k in range(1200)}
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(docs, block=50).collect()}
+    assert sum(got.values()) >= 0.999 * sum(want.values()) > 1200 and all(got[k] <= want[k] for k in want)
+    nodes = ngram_join.signatures(docs, 5, ngram_join.bands_for(0.8, 0.9995), "doc_id", "text").withColumnRenamed("doc_id", "node")
+    ties = nodes.select("node", F.explode("bands").alias("b")).groupBy("b").agg(F.min("node").alias("v"), F.collect_list("node").alias("u")).select(F.explode("u").alias("u"), "v")
+    placed = ngram_join.groups(nodes, connected(ties), 50, 10**9)
+    assert placed.where("band is not null").count() > 0 and placed.groupBy("node").agg(F.sum("blocks").alias("n")).agg(F.max("n")).head()[0] <= 33
+
+
 def test_deduplicated(copies, corpus, empty):
     texts, docs = copies
-    docs = docs.withColumns({"digest": F.lit("own"), "node": F.lit(1), "_id": F.lit("x"), "class_id": F.lit(None).cast("long"), "first": F.lit(False)})
+    docs = docs.withColumns({"digest": F.lit("own"), "node": F.lit(1), "_id": F.lit("x"), "class_id": F.lit(None).cast("long"), "first": F.lit(False), "__id": F.lit(1), "dup_id": F.lit(2), "key_hash": F.lit(3)})
     kept = ngram_join.deduplicated(docs)
     got = {r.doc_id: r.class_id for r in ngram_join.near_duplicates(docs).collect()}
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in got.items() if i == c)
@@ -228,6 +244,8 @@ def test_components_are_whole_or_an_error(spark):
 def test_bands():
     bands, rows = ngram_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 256
+    with pytest.raises(ValueError, match="recall"):
+        ngram_join.bands_for(0.01, 0.9999)
 
 
 def brute_base(text):
