@@ -10,15 +10,30 @@ from pyspark.sql import functions as F
 from tempofeat.llm.shared import cut
 
 
+#: At most so many nodes can be hubs.
+HUBS = 100_000
+
+
+def meet(edges: DataFrame, least: DataFrame, degree: int) -> DataFrame:
+    """The edges with m of their u. No task gets more than `degree` edges of one u.
+
+    At most HUBS nodes have more (`degree` is at least their share of all edge
+    ends): these are broadcast, so that their edges stay where they are."""
+    hubs = F.broadcast(least.where(F.col("d") > degree).select("u", "m"))
+    few = edges.join(hubs.drop("m"), "u", "left_anti").join(least.where(F.col("d") <= degree).select("u", "m"), "u")
+    return few.unionByName(edges.join(hubs, "u"))
+
+
 def connected(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node and component (the least node in it) of every node of edges (u, v).
 
     Loops and repeated edges do no harm; no edges give no rows. Every round
     joins each node's neighbours to the least of them, first all larger ones,
     then all smaller ones, until nothing changes; the edges then are stars. No
-    group is gathered anywhere: minima combine on the map side, and joins on a
-    hub can be split. Each round's edges are checkpointed. If `rounds` is given
-    and they run out before that, an error is raised.
+    group is gathered anywhere: minima combine on the map side, and the hubs,
+    nodes with more than a HUBS-th of all edge ends, meet their edges by a
+    broadcast. Each round's edges are checkpointed. If `rounds` is given and
+    they run out before that, an error is raised.
     """
     star = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
@@ -30,9 +45,10 @@ def connected(edges: DataFrame, rounds: int | None = None) -> DataFrame:
             raise RuntimeError(f"components have not settled in {rounds} rounds")
         seen = tuple(state)
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        degree = max(1000, 2 * state[0] // HUBS)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("d"))
+        large = meet(both.where("v > u"), least, degree).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        moved = meet(large, least, degree).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -228,9 +228,10 @@ def test_deduplicated(copies, corpus, empty):
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (5, 5), (200, 200)] + [(300, 300 + i) for i in range(30)]
-    got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {300 + i: 300 for i in range(30)}
+    edges = [(1000 + i, 5000 - i % 3) for i in range(1500)] + [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (5, 5), (200, 200)] + [(300, 300 + i) for i in range(30)]
+    edges += [(1_000_000, k) for k in range(2_000_000, 2_002_500)]  # a hub
+    got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "u long, v long")).collect() if r.node < 1_000_000 or r.component != 1_000_000}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100} | {300 + i: 300 for i in range(30)} | {1000 + i: 1000 + i % 3 for i in range(1500)} | {5000 - i: 1000 + i for i in range(3)}
 
 
 def test_components_are_whole_or_an_error(spark):
