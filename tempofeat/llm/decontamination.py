@@ -1,14 +1,16 @@
 """Benchmark decontamination by suffix arrays over shards of the training texts.
 
-Each batch of documents is a shard. Its words become numbers of the benchmark's
+Batches of documents up to some megabytes of text are a shard. Its words become numbers of the benchmark's
 own vocabulary; words outside it, and runs too short for any window, can be in
 no match and are left out, without loss. A suffix array over the rest is built
 by prefix doubling, and every benchmark suffix is found in it by binary search:
 the range of equal suffixes gives all verbatim occurrences with their places.
 Matches that go on along one diagonal join to the longest match.
 
-The benchmark is broadcast in blocks of at most `block` words, each as a table
-of its own; shards are searched for one block after the other.
+The benchmark is broadcast in blocks of at most `block` words (or one item), one
+at a time: with more than one, the documents are gone over once per block, and
+what was found is written in between, so that neither the driver nor a worker
+ever holds more than one block.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempofeat.llm.shared import small_batches
+from tempofeat.llm.shared import cut, small_batches, stored
 
 # A-Z to a-z, and every other byte that is not 0-9, a-z or part of a non-ASCII character to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -122,42 +124,60 @@ def longest(doc: np.ndarray, word: np.ndarray, size: np.ndarray, item: np.ndarra
     return out
 
 
-def _blocks(benchmark: DataFrame, width: int, item_col: str, text_col: str, block: int) -> list:
-    """Broadcast tables of the benchmark, none over `block` words or one item."""
-    small_batches(benchmark.sparkSession)
-    context, out, items, held = benchmark.sparkSession.sparkContext, [], [], 0
+def _blocks(benchmark: DataFrame, width: int, item_col: str, text_col: str, block: int) -> Iterator[Block]:
+    """Tables of the benchmark, none over `block` words or one item; at least one, maybe empty."""
+    items, held = [], 0
     for name, text in benchmark.select(F.col(item_col).cast("string"), text_col).toLocalIterator():
         item = words(text)
         if items and held + len(item) > block:
-            out.append(context.broadcast(Block(items, width)))
+            yield Block(items, width)
             items, held = [], 0
         items.append((name, item))
         held += len(item)
-    return [*out, context.broadcast(Block(items, width))]
-
-
-def _searched(batch_texts: list, blocks: list, part: int = 2048) -> Iterator[tuple[int, int, np.ndarray, list, int]]:
-    """For each text: words, hit words, spans, items and the longest match."""
-    for k in range(0, len(batch_texts), part):
-        shard = [words(x.as_py()) for x in batch_texts[k : k + part]]
-        first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in shard])]).astype(np.int64)
-        cover, items, most = np.zeros(first[-1] + 1, dtype=np.int64), [set() for _ in shard], np.zeros(len(shard), dtype=np.int64)
-        for b in blocks:
-            block = b.value
-            doc, word, size, item, at = block.search(shard)
-            np.add.at(cover, first[doc] + word, 1)
-            np.add.at(cover, first[doc] + word + size, -1)
-            for d, i in np.unique(np.stack([doc, item], axis=1), axis=0).tolist():
-                items[d].add(block.names[i])
-            most = np.maximum(most, longest(doc, word, size, item, at, len(shard)))
-        hit = np.cumsum(cover) > 0
-        for d, x in enumerate(shard):
-            own = hit[first[d] : first[d] + len(x)]
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))) if items[d] else np.zeros(0, dtype=np.int64)
-            yield len(x), int(own.sum()), edges.reshape(-1, 2), sorted(i for i in items[d] if i is not None), int(most[d])
-
-
-MATCHES = "doc_id {}, n_words long, n_hit long, items array<string>, longest long, spans array<array<long>>"
+    yield Block(items, width)
+
+
+def _searched(texts: pa.Array, block: Block, before: list | None = None) -> Iterator[tuple[int, int, np.ndarray, list, int]]:
+    """For each text of a shard: words, hit words, spans, items and the longest match.
+
+    before: the spans, items and longest match that other blocks gave."""
+    shard = [words(x.as_py()) for x in texts]
+    first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in shard])]).astype(np.int64)
+    cover, items, most = np.zeros(first[-1] + 1, dtype=np.int64), [set() for _ in shard], np.zeros(len(shard), dtype=np.int64)
+    for d, (spans, own, longest_) in enumerate(before or ()):
+        items[d].update(own)
+        most[d] = longest_
+        for begin, end in spans:
+            cover[first[d] + begin] += 1
+            cover[first[d] + end] -= 1
+    doc, word, size, item, at = block.search(shard)
+    np.add.at(cover, first[doc] + word, 1)
+    np.add.at(cover, first[doc] + word + size, -1)
+    for d, i in np.unique(np.stack([doc, item], axis=1), axis=0).tolist():
+        items[d].add(block.names[i])
+    most = np.maximum(most, longest(doc, word, size, item, at, len(shard)))
+    hit = np.cumsum(cover) > 0
+    any_hit = np.logical_or.reduceat(hit, first[:-1]) if len(shard) else hit
+    for d, x in enumerate(shard):
+        own = hit[first[d] : first[d] + len(x)]
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))) if any_hit[d] else np.zeros(0, dtype=np.int64)
+        yield len(x), int(own.sum()), edges.reshape(-1, 2), sorted(i for i in items[d] if i is not None), int(most[d])
+
+
+def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The batches, gathered to about `size` bytes each."""
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += b.nbytes
+        if total >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+MATCHES = "doc_id {}, text string, n_words long, n_hit long, items array<string>, longest long, spans array<array<long>>"
 
 
 def matches(
@@ -166,6 +186,7 @@ def matches(
     *,
     width: int = 10,
     block: int = 1_000_000,
+    shard: int = 8 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -179,31 +200,58 @@ def matches(
     the document inside any occurrence of a window, spans has their [begin, end)
     ranges, items the ids (as sorted strings, once each; null ids are not
     listed, though their windows count), longest the longest verbatim match.
-    Null and empty texts have no words. Repeated rows stay; an empty benchmark
-    hits nothing.
+    Null and empty texts have no words; a very long text is a shard of its own.
+    Repeated rows stay; other columns are ignored; an empty benchmark hits
+    nothing, and no documents give no rows.
     """
+    small_batches(docs.sparkSession)
+    context, kind = docs.sparkSession.sparkContext, dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     tables = _blocks(benchmark, width, item_col, item_text_col, block)
-    kind = dict(docs.dtypes)[id_col]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = list(zip(*_searched(b.column(1), tables), strict=True)) or [()] * 5
-            n, hit, spans, items, most = columns
-            arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(most, pa.int64()), pa.array([s.tolist() for s in spans], pa.list_(pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_hit", "items", "longest", "spans"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, MATCHES.format(kind))
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, block: int = 1_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of the benchmark."""
+    now = next(tables)
+    while True:
+        after = next(tables, None)
+        table = context.broadcast(now)  # a block: at most `block` words or one item
+
+        def run(batches: Iterator[pa.RecordBatch], table=table, last=after is None) -> Iterator[pa.RecordBatch]:
+            for b in _shards(batches, shard):
+                before = None
+                if "spans" in b.schema.names:
+                    before = list(zip(*(b.column(c).to_pylist() for c in ("spans", "items", "longest")), strict=True))
+                n, hit, spans, items, most = list(zip(*_searched(b.column(1), table.value, before), strict=True)) or [()] * 5
+                text = pa.nulls(len(b), pa.string()) if last else b.column(1)
+                arrays = [b.column(0), text, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(most, pa.int64()), pa.array([s.tolist() for s in spans], pa.list_(pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "n_words", "n_hit", "items", "longest", "spans"])
+
+        rows = rows.mapInArrow(run, MATCHES.format(kind))
+        if after is None:
+            return rows.drop("text")
+        rows, now = cut(rows), after
+        table.unpersist()
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, block: int = 1_000_000, shard: int = 8 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of the benchmark.
+
+    Null, empty and wordless texts hold none and stay, as does everything
+    beside an empty benchmark; of repeated rows all stay or none."""
+    small_batches(docs.sparkSession)
+    context, rows = docs.sparkSession.sparkContext, docs
     tables = _blocks(benchmark, width, item_col, item_text_col, block)
+    now = next(tables)
+    while True:
+        after = next(tables, None)
+        table = context.broadcast(now)  # a block: at most `block` words or one item
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([hit == 0 for _, hit, *_ in _searched(b.column(text_col), tables)], pa.bool_()))
+        def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            for b in _shards(batches, shard):
+                yield b.filter(pa.array([hit == 0 for _, hit, *_ in _searched(b.column(text_col), table.value)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+        rows = rows.mapInArrow(run, docs.schema)
+        if after is None:
+            return rows
+        rows, now = stored(rows), after
+        table.unpersist()
 
 
 def digest(items: Column) -> Column:
@@ -220,4 +268,5 @@ def op4_suffix_decontamination(spark, sf_dir: str) -> DataFrame:
         digest(F.col("items")).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
         F.col("longest").alias("longest_match"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s[0], s[1])), " ").alias("hit_spans"),
     )

@@ -72,7 +72,10 @@ found AS (
   SELECT p.rid, p.pos, p.size, keyed.item_id FROM (
     SELECT rid, size, unnest(range(1, len(w) - size + 2)) AS pos, array_to_string(list_slice(w, pos, pos + size - 1), ' ') AS k
     FROM d, sizes WHERE len(w) >= size) p JOIN keyed USING (size, k)),
-hit AS (SELECT rid, count(DISTINCT word) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + size)) AS word FROM found) GROUP BY rid),
+words AS (SELECT DISTINCT rid, unnest(range(pos, pos + size)) AS word FROM found),
+hit AS (SELECT rid, count(*) AS n_hit FROM words GROUP BY rid),
+spans AS (SELECT rid, string_agg(a || '-' || b, ' ' ORDER BY a) AS hit_spans FROM (
+  SELECT rid, min(word) - 1 AS a, max(word) AS b FROM (SELECT rid, word, word - row_number() OVER (PARTITION BY rid ORDER BY word) AS run FROM words) GROUP BY rid, run) GROUP BY rid),
 lists AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT rid, item_id FROM found) GROUP BY rid),
 runs AS (SELECT rid, max(size) AS longest FROM (
   SELECT rid, max(pos) - min(pos) + max(size) AS size FROM (
@@ -85,8 +88,8 @@ runs AS (SELECT rid, max(size) AS longest FROM (
       JOIN d ON d.rid = f.rid AND array_to_string(list_slice(d.w, f.pos, f.pos + f.size - 1), ' ') = i.k))
   GROUP BY rid, item_id, slope, run) GROUP BY rid)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest_match
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN lists USING (rid) LEFT JOIN runs USING (rid)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0) AS longest_match, coalesce(hit_spans, '') AS hit_spans
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN spans USING (rid) LEFT JOIN lists USING (rid) LEFT JOIN runs USING (rid)
 """,
     "op1_quality_rules": rf"""
 WITH split AS (

@@ -154,8 +154,10 @@ def test_decontamination(spark, empty):
     for block in (1_000_000, 20):
         got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.matches(docs, bench, block=block).collect()}
         assert [got[i] for i in range(len(texts))] == brute_hits(texts, items)
-    clean = {r.doc_id for r in decontamination.decontaminated(docs, bench).collect()}
-    assert clean == {i for i, (_, hit, _) in got.items() if not hit}
+        clean = decontamination.decontaminated(docs.withColumns({"spans": F.lit("own"), "items": F.lit(1)}), bench, block=block, shard=4000)
+        assert clean.columns == ["doc_id", "text", "spans", "items"] and {r.doc_id for r in clean.collect()} == {i for i, (_, hit, _) in got.items() if not hit}
+    one, many = (sorted(map(str, decontamination.matches(docs, bench, block=block, shard=shard).select("doc_id", "spans", "longest").collect())) for block, shard in ((1_000_000, 8 << 20), (20, 1)))
+    assert one == many
     assert decontamination.matches(empty, bench).count() == 0
     assert decontamination.decontaminated(docs, bench.limit(0)).count() == len(texts)
 
