@@ -1,10 +1,10 @@
 """A supervised subword classifier of document quality.
 
-Words and the character n-grams of the text, hashed into buckets, have learned
-vectors; a document is the average of its features' vectors, and a softmax over
+Words, pairs of neighbouring words and the character n-grams of the text, hashed
+into buckets, have learned vectors; a document is the average of its features' vectors, and a softmax over
 two classes judges it. Vectors and softmax are trained together by stochastic
 gradient descent in numpy on a bounded sample of labelled documents. Scoring
-works on the bytes of whole Arrow batches: with two classes each bucket's vector
+works on the code points of whole Arrow batches: with two classes each bucket's vector
 acts through its inner product with the difference of the class vectors, so a
 document's logit is the mean of one number per feature.
 """
@@ -23,16 +23,15 @@ from tempofeat.llm.shared import small_batches
 
 GRAMS = (3, 4)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def features(data: np.ndarray, starts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all features of the texts in `data`, and each one's text.
 
-    Text i is data[starts[i]:starts[i + 1]]. Features: n-grams of bytes of each
-    size, spaces included but not across texts, whole words, and words that
-    stand twice in a row."""
+    data: code points; text i is data[starts[i]:starts[i + 1]]. Features: n-grams
+    of characters of each size, spaces included but not across texts, whole
+    words, and pairs of neighbouring words, in either order. A word is a run of other than ASCII
+    white space."""
     n, shift = len(data), np.uint64(64 - int(buckets).bit_length() + 1)
     text_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     found, owner = [], []
@@ -49,7 +48,7 @@ def features(data: np.ndarray, starts: np.ndarray, buckets: int) -> tuple[np.nda
             owner.append(text_of[: n - g + 1][same])
         if n:
             # word hashes: differences of running sums of letters weighted by place within the word
-            letter = ~_SPACE[data]
+            letter = (data != 32) & ((data < 9) | (data > 13))
             edge = np.ones(n, dtype=bool)
             edge[1:] = ~letter[:-1] | (text_of[1:] != text_of[:-1])
             begin = np.flatnonzero(letter & edge)
@@ -61,17 +60,17 @@ def features(data: np.ndarray, starts: np.ndarray, buckets: int) -> tuple[np.nda
                 h = np.add.reduceat(own, begin)
                 found.append(((h * _ODD) >> shift).astype(np.int64))
                 owner.append(text_of[begin])
-                # word bigrams of a word and itself share one bucket, so that any stammer counts alike
-                twin = begin[1:][(h[1:] == h[:-1]) & (text_of[begin[1:]] == text_of[begin[:-1]])]
-                found.append(np.zeros(len(twin), dtype=np.int64))
-                owner.append(text_of[twin])
+                near = text_of[begin[1:]] == text_of[begin[:-1]]
+                pair = h[:-1] ^ h[1:]  # in either order; of a word and itself one feature, whatever the word
+                found.append(((pair[near] * _ODD) >> shift).astype(np.int64))
+                owner.append(text_of[begin[1:][near]])
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     return np.concatenate(found), np.concatenate(owner)
 
 
 def slices(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Consecutive texts of about `most` bytes (or one longer text): first, bytes, starts."""
+    """Consecutive texts of about `most` bytes (or one longer text): first, code points, starts."""
     if texts.null_count:
         texts = texts.fill_null("")
     wide = pa.types.is_large_string(texts.type)
@@ -81,7 +80,11 @@ def slices(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarr
     i = 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
-        yield i, raw[at[i] : at[j]], at[i : j + 1] - at[i]
+        own, starts = raw[at[i] : at[j]], at[i : j + 1] - at[i]
+        if len(own) and own.max() >= 128:
+            starts = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])[starts]
+            own = np.frombuffer(own.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+        yield i, own, starts
         i = j
 
 
@@ -144,11 +147,12 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, most: int) -> DataFrame:
-    """At most about `most` labelled rows outside the fold: text and label.
+    """The documents of at most `most` labelled ids outside the fold: text and label.
 
-    Rows come in the order of a hash of their id, so that the sample is the same
-    for the same rows; a text that stands twice is taken once per row. Ids are
-    chosen before texts are read: no text is shuffled."""
+    Ids come in the order of a hash, so that the sample is the same for the
+    same rows; of an id's labels the highest counts, null ids have none. Ids are
+    chosen before texts are read: no text is shuffled. An id that stands on
+    several rows gives them all; `one_each` leaves one."""
     small_batches(docs.sparkSession)
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
@@ -157,6 +161,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row of each doc_id, the least; copies of an id fall away on the map side, before the driver."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*").orderBy("doc_id")
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -173,9 +183,10 @@ def fit(
     batch: int = 16,
     seed: int = 7,
 ) -> Model:
-    """A model from at most `sample` labelled documents outside the fold.
+    """A model from at most `sample` labelled documents outside the fold, one for each id.
 
-    Their features are counted on the executors over whole texts; only buckets
+    docs: doc_id and text; other columns are ignored, null and empty texts have
+    no features, labels without a document have no part. Their features are counted on the executors over whole texts; only buckets
     and shares come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +199,9 @@ def fit(
                     own, n = np.unique(part, return_counts=True)
                     ids.append(own.astype("<i4").tobytes())
                     shares.append((n / max(n.sum(), 1)).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("_label"), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["doc_id", "label", "ids", "shares"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), pa.array(ids, pa.binary()), pa.array(shares, pa.binary()), b.column("_label")], ["doc_id", "ids", "shares", "label"])
 
-    rows = labelled_sample(docs, labels, label, folds, fold, sample).mapInArrow(run, "doc_id string, label int, ids binary, shares binary").toArrow()
-    rows = rows.take(pa.array(sorted(range(len(rows)), key=lambda i, a=rows["doc_id"].to_pylist(), b=rows["ids"].to_pylist(): (a[i], b[i])), pa.int64()))[:sample]
+    rows = one_each(labelled_sample(docs, labels, label, folds, fold, sample).mapInArrow(run, "doc_id string, ids binary, shares binary, label int")).toArrow()
     made = [(np.frombuffer(a, "<i4"), np.frombuffer(s, "<f4")) for a, s in zip(rows["ids"].to_pylist(), rows["shares"].to_pylist(), strict=True)]
     return train(made, np.array(rows["label"].to_pylist(), dtype=np.int64), buckets, dim, epochs, rate, vector_rate, batch, seed)
 
@@ -199,7 +209,8 @@ def fit(
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a score in [0, 1]; a null or empty text gets the model's offset.
 
-    A column of that name is replaced; repeated rows score alike."""
+    A very long text counts whole. A column of that name is replaced; repeated
+    rows score alike; an empty table gives no rows."""
     small_batches(docs.sparkSession)
     docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a number per bucket, whatever the input
@@ -212,7 +223,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, that score the threshold or more."""
+    """The rows of docs, with their columns, that score the threshold or more (ties stay)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
