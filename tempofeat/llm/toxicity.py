@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempofeat.llm.quality_classifier import held_out, labelled_sample
+from tempofeat.llm.quality_classifier import held_out, labelled_sample, one_each
 from tempofeat.llm.shared import small_batches
 
 SPAN, DECAY = 5, 0.8
@@ -131,8 +131,9 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(tops @ self.weights[:-1] + self.weights[-1], -40, 40)))
 
 
-def machine(words: list[str], labels: np.ndarray, weigh: np.ndarray, landmarks: list[str], penalty: float) -> Machine:
-    """A linear support vector machine (squared hinge) in the Nystroem space of the landmarks."""
+def solve(words: list[str], labels: np.ndarray, weigh: np.ndarray, landmarks: list[str], penalty: float) -> tuple[np.ndarray, float]:
+    """A linear support vector machine (squared hinge) in the Nystroem space of the landmarks:
+    the weight of the kernel with each landmark, and the offset."""
     inner = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     good = values > 1e-6 * values[-1]
@@ -148,11 +149,15 @@ def machine(words: list[str], labels: np.ndarray, weigh: np.ndarray, landmarks:
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
-    beta = root @ w[:-1]
+    return root @ w[:-1], float(w[-1])
+
+
+def folded(beta: np.ndarray, bias: float, landmarks: list[str]) -> Machine:
+    """The sum of all weighted kernels as one number per subsequence."""
     mark, key, weight = subsequences(landmarks)
     norm = np.sqrt(np.bincount(mark, weights=weight**2, minlength=len(landmarks))) + 1e-12
     keys, at = np.unique(key, return_inverse=True)
-    return Machine(keys, np.bincount(at, weights=weight * (beta / norm)[mark], minlength=len(keys)), float(w[-1]))
+    return Machine(keys, np.bincount(at, weights=weight * (beta / norm)[mark], minlength=len(keys)), bias)
 
 
 def inserted(word: str, rng: np.random.Generator) -> str:
@@ -196,7 +201,7 @@ def train(texts: list[list[str]], labels: np.ndarray, *, landmarks: int = 512, r
         more = [(inserted(seen[i], rng), i) for i in np.flatnonzero(lab == 1) for _ in range(variants)]
         who_text, lab, weigh = seen + [v for v, _ in more], np.concatenate([lab, np.ones(len(more), dtype=lab.dtype)]), np.concatenate([weigh, *([weigh[i] * 0.2] for _, i in more)])
         marks = [vocabulary[i] for i in dict.fromkeys([*most, *worst, *some])]
-        made = machine(who_text, lab, weigh, marks, penalty)
+        made = folded(*solve(who_text, lab, weigh, marks, penalty), marks)
         margin = made.margins(vocabulary)
     tops = np.stack([highest(margin[own], made.bias) for own, _ in bags])
     made.weights = calibrated(tops, np.array([label for _, label in bags]))
@@ -240,25 +245,26 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 4, fold: int = 2, sample: int = 6000, **how) -> Machine:
-    """A machine from at most `sample` labelled documents outside the fold.
+    """A machine from at most `sample` labelled documents outside the fold, one for each id.
 
-    Whole texts count; their distinct strings come to the driver."""
+    docs: doc_id and text; other columns are ignored, null and empty texts have
+    no strings, labels without a document have no part. Whole texts count; their distinct strings come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = ["\n".join(sorted(set(strings(t.as_py())))) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("_label"), pa.array(found, pa.string())], ["doc_id", "label", "strings"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), pa.array(found, pa.string()), b.column("_label")], ["doc_id", "strings", "label"])
 
-    rows = labelled_sample(docs, labels, label, folds, fold, sample).mapInArrow(run, "doc_id string, label int, strings string").toArrow().to_pylist()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["strings"]))[:sample]
+    rows = one_each(labelled_sample(docs, labels, label, folds, fold, sample).mapInArrow(run, "doc_id string, strings string, label int")).toArrow().to_pylist()
     return train([r["strings"].split() for r in rows], np.array([r["label"] for r in rows], dtype=np.int64), **how)
 
 
 def scored(docs: DataFrame, model: Machine, text_col: str = "text", out: str = "score", part: int = 256) -> DataFrame:
     """docs with a score in [0, 1]; a text without strings gets the machine's offset.
 
-    Repeated rows score alike; null texts count as empty; other columns stay,
-    but one of the score's name is replaced."""
+    Repeated rows score alike; null texts count as empty; very long ones count
+    whole; other columns stay, but one of the score's name is replaced; an empty
+    table gives no rows."""
     small_batches(docs.sparkSession)
     docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # subsequences of the landmarks: bounded by their number

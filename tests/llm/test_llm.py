@@ -365,6 +365,62 @@ def test_quality_classifier(spark):
     assert quality_classifier.scored(docs.limit(0), model).count() == 0
 
 
+def brute_features(text, buckets):
+    """Buckets of a text's features, one Python number at a time."""
+    top, odd = 1 << 64, 0x9E3779B97F4A7C15
+    place = lambda h: (h % top * odd % top) >> (64 - buckets.bit_length() + 1)
+    out, x = [], [ord(c) + 1 for c in text]
+    for g in quality_classifier.GRAMS:
+        for i in range(len(x) - g + 1):
+            h = g
+            for v in x[i : i + g]:
+                h = (h * 1000003 + v) % top
+            out.append(place(h))
+    words = []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+        h = 0
+        for k, c in enumerate(w):
+            weight = (2 * k + 1) * 0xD1B54A32D192ED03 % top
+            weight ^= weight >> 31
+            h += (ord(c) + 1) ** 2 * weight + ord(c) + 1
+        words.append(h % top)
+    return out + [place(h) for h in words] + [place(a ^ b) for a, b in zip(words, words[1:])]
+
+
+def test_quality_scores_by_brute_force():
+    import pyarrow as pa
+
+    texts = ["abc defdef def def", "", None, "Über 漢字漢字 çà\tx\x0by  y y\n", "a", "ab ab", "the quick brown fox " * 9]
+    rng = np.random.default_rng(1)
+    model = quality_classifier.Model(rng.normal(0, 30, 1 << 10).astype(np.float32), 0.25)
+    got = model.score(pa.array(texts))
+    for t, s in zip(texts, got, strict=True):
+        f = brute_features(t or "", 1 << 10)
+        logit = 0.25 + sum(float(model.weight[k]) for k in f) / max(len(f), 1)
+        assert abs(s - 1 / (1 + np.exp(-logit))) < 1e-6
+
+
+def test_a_step_of_training_by_brute_force():
+    buckets, dim, rate, move = 8, 3, 0.2, 5.0
+    docs = [([0, 1], [0.5, 0.5], 1), ([1, 2, 5], [0.25, 0.5, 0.25], 0), ([3], [1.0], 0)]
+    rows = [(np.array(b), np.array(s, dtype="<f4")) for b, s, _ in docs]
+    got = quality_classifier.train(rows, np.array([y for *_, y in docs]), buckets, dim, 1, rate, move, 3, 9)
+    rng = np.random.default_rng(9)
+    vectors, soft, bias = rng.normal(0, 1 / dim, (buckets, dim)), rng.normal(0, 0.5, (dim, 2)), np.zeros(2)
+    new_v, new_s, new_b = vectors.copy(), soft.copy(), bias.copy()
+    for b, s, y in docs:
+        mean = sum(w * vectors[k] for k, w in zip(b, s))
+        p = np.exp(mean @ soft + bias)
+        p /= p.sum()
+        p[y] -= 1
+        p *= 3 / (2 * (1 if y else 2)) / 3  # classes weigh alike, and a batch is a mean
+        new_s -= rate * np.outer(mean, p)
+        new_b -= rate * p
+        for k, w in zip(b, s):
+            new_v[k] -= move * 3 * w * (soft @ p)
+    assert np.allclose(got.weight, new_v @ (new_s[:, 1] - new_s[:, 0]), atol=1e-4) and abs(got.bias - (new_b[1] - new_b[0])) < 1e-5
+
+
 def test_features_do_not_cross_texts():
     one = np.frombuffer(b"abc defdef def def", dtype=np.uint8)
     bucket, owner = quality_classifier.features(one, np.array([0, 7, 18]), 1 << 12)
@@ -385,6 +441,9 @@ def test_toxicity(spark):
     assert len(held) > 30 and sum((r.score >= 0.3) != (r.doc_id % 2 == 0) for r in held) <= 1
     score = toxicity.Scorer(model)(["a grum.bel here", "you g r u m b e l fool", "grummbel", "the of and", None, ""])
     assert (score[:3] >= 0.3).all() and (score[3:] < 0.3).all()
+    twice = docs.unionByName(docs).withColumns({"doc_id": F.col("doc_id"), "label": F.lit("own"), "strings": F.lit("own"), "_label": F.lit(7)})
+    again = toxicity.fit(twice.drop("_label"), labels.unionByName(labels), landmarks=64)
+    assert np.allclose(again.values, model.values)  # one row of each id
     nothing = toxicity.fit(docs, labels.limit(0))
     assert {r.score for r in toxicity.scored(docs, nothing).collect()} == {0.5}
     assert toxicity.scored(docs.limit(0), model).count() == 0
@@ -424,24 +483,40 @@ def test_toxicity_behind_the_longest_string():
 
 
 def test_subsequence_kernel():
-    def brute(s, t):
-        def phi(w):
-            w, out = "\x02\x02" + w + "\x03", collections.Counter()
-            for i in range(len(w)):
-                for b in range(2, toxicity.SPAN):
-                    for a in range(1, b):
-                        if i + b < len(w):
-                            out[w[i], w[i + a], w[i + b]] += toxicity.DECAY ** (b + 1)
-            return out
-
-        dot = lambda x, y: sum(v * y[k] for k, v in x.items())
-        return dot(phi(s), phi(t)) / (dot(phi(s), phi(s)) * dot(phi(t), phi(t))) ** 0.5
-
+    brute = brute_kernel
     words, marks = ["idiot", "idxiot", "the", "aaaa"], ["idiot", "aaa", "thee"]
     got = toxicity.kernel(words, marks)
     assert np.allclose(got, [[brute(s, t) for t in marks] for s in words], atol=1e-6)
 
 
+def test_folded_scores_are_kernels_times_weights():
+    words = ["idiot", "idi.ot", "xidiotx", "the", "these", "aaaa", "other", "io"]
+    labels, marks = np.array([1, 1, 1, 0, 0, 0, 0, 0]), ["idiot", "the", "aaaa", "idxiot"]
+    beta, bias = toxicity.solve(words, labels, np.ones(len(words)), marks, 0.01)
+    machine = toxicity.folded(beta, bias, marks)
+    unseen = [*words, "idddiot", "x", "zzzz", "ioidiotid"]
+    want = [bias + sum(b * brute_kernel(re.sub(r"[\W_]+", "", s), m) for b, m in zip(beta, marks)) for s in unseen]
+    assert np.allclose(machine.margins(unseen), want, atol=1e-5)
+    machine.weights = np.array([1.0, 0.5, 0.0, 0.0, -0.2])
+    top = sorted((min(3, max(-3, m)) for m in want[:8]), reverse=True)
+    score = toxicity.Scorer(machine)([" ".join(words)])[0]
+    assert abs(score - 1 / (1 + np.exp(-(top[0] + 0.5 * top[1] - 0.2)))) < 1e-5
+
+
+def brute_kernel(s, t):
+    def phi(w):
+        w, out = "\x02\x02" + w + "\x03", collections.Counter()
+        for i in range(len(w)):
+            for b in range(2, toxicity.SPAN):
+                for a in range(1, b):
+                    if i + b < len(w):
+                        out[w[i], w[i + a], w[i + b]] += toxicity.DECAY ** (b + 1)
+        return out
+
+    dot = lambda x, y: sum(v * y[k] for k, v in x.items())
+    return dot(phi(s), phi(t)) / (dot(phi(s), phi(s)) * dot(phi(t), phi(t))) ** 0.5 if dot(phi(s), phi(s)) else 0.0
+
+
 def test_pipeline_by_hand(spark, tmp_path):
     import corpus_pipeline
 
