@@ -158,7 +158,8 @@ def scan(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text_c
 
     Of licences with equal canonical texts the first name counts, so that no
     row of docs doubles; licences without words match nothing. Repeated rows
-    and null ids stay. Known digests are broadcast up to `broadcast_rows`,
+    and null ids stay; other columns are ignored, an empty table gives no rows,
+    and a very long text is normalised whole. Known digests are broadcast up to `broadcast_rows`,
     counted, and else joined by a shuffle of digests alone.
     """
     known = digests(licences.select("licence", "text")).where("digest is not null").groupBy("digest").agg(F.min("licence").alias("licence"))

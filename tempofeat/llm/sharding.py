@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempofeat.llm.shared import cut
+from tempofeat.llm.shared import cut, unused
 
 ROUNDS = 4
 
@@ -60,34 +60,40 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "row_number") ->
     Rows equal in the order are dealt by their place in the input, so that no
     group of equal rows ends in one partition; the order among them is arbitrary.
     The sorted rows are cut from their lineage by a checkpoint: partition sizes
-    and numbers must come from the same run of the sort.
+    and numbers must come from the same run of the sort. All columns stay, but
+    one of the new name is replaced.
     """
-    spark, tie = df.sparkSession, "_tie"
+    spark, df = df.sparkSession, df.drop(name)
+    tie, part, at, first = unused([*df.columns, name], "tie", "part", "at", "first")
     keyed = df.withColumn(tie, F.monotonically_increasing_id())
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = [*order, F.col(tie)]
     ranged = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(tie)
-    ranged = ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    ranged = ranged.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
     ranged = cut(ranged)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"), "_n")
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).head()[0]
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(part, F.coalesce(before, F.lit(0)).alias(first))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     # one row for each shuffle partition: bounded whatever the input
-    numbered = ranged.join(F.broadcast(offsets.drop("_n")), "_part").withColumn(name, F.col("_before") + F.col("_at"))
-    return numbered.drop("_part", "_at", "_before"), total
+    numbered = ranged.join(F.broadcast(offsets), part).withColumn(name, F.col(first) + F.col(at))
+    return numbered.drop(part, at, first), total
 
 
 def assign_shards(df: DataFrame, order: list[Column], shards: int, seed: int = 0) -> DataFrame:
-    """df with its row_number, shard (int) and slot (long). Empty in, empty out."""
+    """df with its row_number, shard (int) and slot (long). Empty in, empty out.
+
+    Columns of df with one of these names are replaced, but what `order` reads."""
+    df = df.drop("shard", "slot")
+    (spot,) = unused([*df.columns, "row_number"], "spot")
     numbered, total = number_rows(df, order)
 
     @F.pandas_udf("long")
     def place(x: pd.Series) -> pd.Series:
         return pd.Series(Permutation(total, seed).forward(x.to_numpy()))
 
-    placed = numbered.withColumn("_place", place("row_number"))
-    return placed.withColumns({"shard": (F.col("_place") % shards).cast("int"), "slot": F.floor(F.col("_place") / shards).cast("long")}).drop("_place")
+    placed = numbered.withColumn(spot, place("row_number"))
+    return placed.withColumns({"shard": (F.col(spot) % shards).cast("int"), "slot": F.floor(F.col(spot) / shards).cast("long")}).drop(spot)
 
 
 def locate(row_number: int, total: int, shards: int, seed: int = 0) -> tuple[int, int]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempofeat.llm.bpe import Tokenizer
-from tempofeat.llm.shared import small_batches
+from tempofeat.llm.shared import cut, small_batches
 
 
 def shrink(counts: Counter, size: int) -> Counter:
@@ -55,7 +55,8 @@ def frequent(docs: DataFrame, tokenizer: str, size: int, longest: int, fan: int
         part = rows.column("part")[0].as_py() // fan
         return pa.table({"part": pa.array([part], pa.int64()), "blob": pa.array([pickle.dumps(dict(shrink(total, size)))], pa.binary())})
 
-    n, sums = docs.rdd.getNumPartitions(), docs.mapInArrow(summary, "part long, blob binary")
+    sums = cut(docs.mapInArrow(summary, "part long, blob binary"))  # a bounded row for each partition
+    n = sums.count()
     while n > fan:
         sums, n = sums.groupBy(F.floor(F.col("part") / fan)).applyInArrow(merge, "part long, blob binary"), -(-n // fan)
     total = Counter()
@@ -80,7 +81,8 @@ def count_tokens(
 
     A null text counts as empty: no bytes, and the tokens of the empty text.
     Strings of special tokens inside texts count as the library takes them by
-    default. Repeated rows and null ids stay; other columns are ignored.
+    default. Repeated rows and null ids stay; other columns are ignored; an empty
+    table gives no rows. A very long text is counted whole.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

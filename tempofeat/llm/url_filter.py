@@ -41,6 +41,8 @@ def filter_urls(
 ) -> DataFrame:
     """The `keep` columns of pages with host, path, rule and verdict, a row for each row.
 
+    A kept column with one of these four names is replaced; others are ignored.
+    An empty table gives no rows. A very long url is judged whole.
     rule is host and path of the longest fitting rule (ties: the longer host,
     then block before allow), verdict its action; no rule: null and `default`.
     Repeated pages stay, null ids too. Rules with a null or empty host or a null
@@ -60,7 +62,9 @@ def filter_urls(
     n, labels, lengths = stats[0], sorted(stats[1]) or [0], sorted(stats[2]) or [0]
 
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(*keep, host.alias("host"), path.alias("path")).withColumn("_row", F.monotonically_increasing_id())
+    own = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep) if c.lower() not in ("host", "path", "rule", "verdict")]
+    kept = [c for c in keep if c.lower() not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(F.struct(F.lit(0).alias("none"), *own).alias("own"), host.alias("host"), path.alias("path")).withColumn("_row", F.monotonically_increasing_id())
     parts = F.split("host", r"\.", -1)
     suffixes = F.transform(F.filter(F.lit(labels), lambda k: (k <= F.size(parts)) & (F.col("host") != "")), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
     prefixes = F.transform(F.filter(F.lit(lengths), lambda k: k <= F.length("path")), lambda k: F.col("path").substr(F.lit(1), k))
@@ -76,8 +80,8 @@ def filter_urls(
     joined = each.join(listed, on, "left")
     fits = (F.col("digest") == F.col("r_digest")) & (F.col("_suffix") == F.col("r_host")) & (F.col("_prefix") == F.col("r_path"))
     best = F.max(F.when(fits, F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), (F.col("r_action") == "block").alias("b"), "r_host", "r_path", "r_action")))
-    out = joined.groupBy("_row", *keep, "host", "path").agg(best.alias("best"))
-    return out.select(*keep, "host", "path", F.concat("best.r_host", "best.r_path").alias("rule"), F.coalesce("best.r_action", F.lit(default)).alias("verdict"))
+    out = joined.groupBy("_row").agg(best.alias("best"), *(F.first(c).alias(c) for c in ("own", "host", "path")))
+    return out.select(*(F.col(f"own.k{i}").alias(c) for i, c in enumerate(keep) if c in kept), "host", "path", F.concat("best.r_host", "best.r_path").alias("rule"), F.coalesce("best.r_action", F.lit(default)).alias("verdict"))
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:

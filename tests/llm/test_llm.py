@@ -91,6 +91,7 @@ def test_token_counts(corpus, empty, name):
     rows, docs = corpus
     t = bpe.Tokenizer(name)
     want = sorted((str(d), len((x or "").encode()), len(t.library(x or ""))) for d, x, *_ in rows)
+    docs = docs.withColumns({c: F.lit("own") for c in ("n_tokens", "n_bytes", "over_limit")})
     got = token_counts.count_tokens(docs, tokenizer=name, table=50, limit=100).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 100) for r in got)
@@ -112,7 +113,14 @@ def test_permutation():
 
 def test_sharding(corpus, empty):
     rows, docs = corpus
-    got = sharding.document_shards(docs, 5).collect()
+    clash = {c: F.lit("own") for c in ("_part", "_at", "_tie", "part", "tie", "spot", "n", "size", "shard", "slot")}
+    got = sharding.document_shards(docs.withColumns(clash), 5).collect()
+    extra, total = sharding.number_rows(docs.withColumns(clash), [F.col("doc_id"), F.crc32(F.col("text").cast("binary"))])
+    assert total == len(rows) and set(extra.columns) == {*docs.columns, *clash, "row_number"}
+    # numbers are places in the sorted table
+    key = lambda d, t: (d is not None, d or 0, zlib.crc32((t or "").encode()), len((t or "").encode()))
+    assert [(r.doc_id, r.text_crc32, r.size - 8) for r in sorted(got, key=lambda r: r.row_number)] == [(d, zlib.crc32((t or "").encode()), len((t or "").encode())) for d, t, *_ in sorted(rows, key=lambda r: key(*r[:2]))]
+    assert sorted(r.row_number for r in got) == list(range(len(rows)))
     again = sharding.document_shards(docs.repartition(7), 5).collect()
     key = lambda r: (str(r.doc_id), r.size, r.text_crc32, r.shard, r.slot)
     assert sorted(map(key, got)) == sorted(map(key, again))
@@ -311,6 +319,9 @@ def test_url_filter(spark):
     for most in (100, 0):
         got = url_filter.filter_urls(pages, url_filter.rules_table(spark), broadcast_rules=most).collect()
         assert sorted((r.page_id, r.host, r.path, str(r.rule), r.verdict) for r in got) == sorted((i, *map(str, brute(u))) for i, u in [*enumerate(urls), (0, urls[0])])
+    clash = pages.withColumns({c: F.lit("own") for c in ("host", "path", "Rule", "_row", "own", "r_host", "digest", "short", "k0", "label")})
+    kept = url_filter.filter_urls(clash, url_filter.rules_table(spark), keep=("page_id", "host", "_row", "own", "Rule", "label"))
+    assert kept.columns == ["page_id", "_row", "own", "label", "host", "path", "rule", "verdict"] and kept.where("host = 'own' or _row <> 'own'").count() == 0
     none = url_filter.filter_urls(pages, url_filter.rules_table(spark).limit(0))
     assert {r.verdict for r in none.collect()} == {"allow"} and url_filter.filter_urls(pages.limit(0), url_filter.rules_table(spark)).count() == 0
 
