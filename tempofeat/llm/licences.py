@@ -64,6 +64,17 @@ EQUIVALENT = {
     "https": "http",
 }
 
+# Spellings of two words or more that count as the same.
+PHRASES = {
+    "copyright owner": "copyright holder",
+    "copyright owners": "copyright holders",
+    "per cent": "percent",
+    "sub license": "sublicense",
+    "sub licenses": "sublicenses",
+    "sub licensed": "sublicensed",
+    "sub licensing": "sublicensing",
+}
+
 # Public licence texts and notices by identifier; forms() adds the long ones and other usual forms.
 KNOWN = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -81,6 +92,10 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 TITLES = {
     "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
     "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "MIT-0": ("MIT No Attribution", "MIT-0"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
     "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003",),
     "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "BSD License"),
     "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "BSD License"),
@@ -97,7 +112,11 @@ def canonical(text: str) -> str:
     if any(m in text for m in _MARKS):
         text = _COPYRIGHT.sub("", text)
     get = EQUIVALENT.get
-    return " ".join([get(w, w) for w in _ODD.sub(" ", text).split()])
+    out = " ".join([get(w, w) for w in _ODD.sub(" ", text).split()])
+    for phrase, same in PHRASES.items():
+        if phrase in out:
+            out = f" {out} ".replace(f" {phrase} ", f" {same} ").strip()
+    return out
 
 
 def forms(name: str, text: str) -> dict[str, str]:

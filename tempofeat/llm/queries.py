@@ -38,7 +38,10 @@ def _values(rows) -> str:
 
 def _canonical(text: str) -> str:
     words = rf"string_split(trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '(?m)^[^\p{{L}}\p{{N}}_]*(portions )?(copyright\b|©|\(c\)\s|all rights reserved).*$', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
-    return f"array_to_string(list_transform({words}, lambda w: coalesce(eq.m[w], w)), ' ')"
+    out = f"' ' || array_to_string(list_transform({words}, lambda w: coalesce(eq.m[w], w)), ' ') || ' '"
+    for phrase, same in licences.PHRASES.items():
+        out = f"replace({out}, ' {phrase} ', ' {same} ')"
+    return f"trim({out})"
 
 
 _MEASURES = {

@@ -328,7 +328,7 @@ def test_url_filter(spark):
 
 def test_licences(spark):
     mit = licences.KNOWN["MIT"]
-    texts = [mit, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ;"), mit.replace("sublicense", "sublicence"), mit + " more", None, "", "© 2020\n"]
+    texts = [mit, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ;"), mit.replace("sublicense", "sub-license").replace("COPYRIGHT HOLDERS", "COPYRIGHT OWNERS"), mit + " more", None, "", "© 2020\n"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("licence", F.lit("own"))
     got = {r.doc_id: r.licence for r in licences.scan(docs, licences.licence_table(spark)).collect()}
     assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: None}
@@ -343,7 +343,7 @@ def test_licence_files(spark):
     from tempofeat.llm import queries
 
     whole = [k for k in licences.KNOWN if ":" not in k and "notice" not in k]
-    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSL-1.0", "MIT", "ISC"} == set(whole)
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSL-1.0", "MIT", "ISC", "GPL-1.0", "LGPL-2.0", "MPL-1.1", "GFDL-1.2", "GFDL-1.3", "Artistic-1.0-Perl", "Unlicense", "Zlib", "0BSD", "MIT-0", "WTFPL"} == set(whole)
     rows = [(k, "Copyright 2020 Someone\n\n" + t) for k, t in licences.KNOWN.items()] + [(k, licences.KNOWN[k].upper()) for k in whole]
     rows += [("MIT: MIT License", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + licences.KNOWN["MIT"]), ("ISC: ISC License", "ISC License\n\n(c) 2020 Someone\n\n" + licences.KNOWN["ISC"]), (None, "A title of its own\n\n" + licences.KNOWN["MIT"])]
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
