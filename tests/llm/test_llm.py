@@ -547,6 +547,22 @@ def test_pipeline_by_hand(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "near_duplicates", "decontamination", "packing"]
 
 
+def test_pipeline_edge_cases(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    clash = ", ".join(f"{c} string" for c in ("__q", "__kept", "score", "class", "spans", "dup_id", "length"))
+    for name, n in (("none", 0), ("some", 30)):
+        texts = ([prose(rng, 80) for _ in range(n)] + [None, "", "word " * 30_000] * 2) if n else []
+        rows = [(None if i % 7 == 3 else i, t, None, None, None, *["own"] * 7) for i, t in enumerate(texts)]
+        rows += rows[:2]
+        spark.createDataFrame(rows, f"{SCHEMA}, {clash}").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == ({None if i % 7 == 3 else i for i in range(n)} if n else set())
+
+
 def test_vocabulary_by_two_libraries():
     with open(bpe.resolve("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
