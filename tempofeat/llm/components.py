@@ -14,14 +14,16 @@ from tempofeat.llm.shared import cut
 HUBS = 100_000
 
 
-def meet(edges: DataFrame, least: DataFrame, degree: int) -> DataFrame:
+def meet(edges: DataFrame, least: DataFrame, degree: int, hubs: bool) -> DataFrame:
     """The edges with m of their u. No task gets more than `degree` edges of one u.
 
     At most HUBS nodes have more (`degree` is at least their share of all edge
     ends): these are broadcast, so that their edges stay where they are."""
-    hubs = F.broadcast(least.where(F.col("d") > degree).select("u", "m"))
-    few = edges.join(hubs.drop("m"), "u", "left_anti").join(least.where(F.col("d") <= degree).select("u", "m"), "u")
-    return few.unionByName(edges.join(hubs, "u"))
+    if not hubs:
+        return edges.join(least.select("u", "m"), "u")
+    known = F.broadcast(least.where(F.col("d") > degree).select("u", "m"))
+    few = edges.join(known.drop("m"), "u", "left_anti").join(least.where(F.col("d") <= degree).select("u", "m"), "u")
+    return few.unionByName(edges.join(known, "u"))
 
 
 def connected(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -38,17 +40,19 @@ def connected(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     star = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for done in count():
-        state = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
+        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = both.groupBy("u").agg(F.count("*").alias("d"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        state = ends.agg(F.coalesce(F.sum("d"), F.lit(0)), F.sum("h"), F.max("d")).head()
         if tuple(state) == seen or not state[0]:
             break
         if done == rounds:
             raise RuntimeError(f"components have not settled in {rounds} rounds")
         seen = tuple(state)
-        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        degree = max(1000, 2 * state[0] // HUBS)
+        degree = max(100, state[0] // HUBS)
+        hubs = state[2] > degree
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("d"))
-        large = meet(both.where("v > u"), least, degree).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = meet(both.where("v > u"), least, degree, hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
-        moved = meet(large, least, degree).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = meet(large, least, degree, hubs).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
