@@ -109,8 +109,8 @@ class Model:
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int, dim: int, epochs: int, rate: float, vector_rate: float, batch: int, seed: int) -> Model:
     """Stochastic gradient descent on averaged vectors and a softmax.
 
-    rows: buckets and their shares of each document's features. Classes weigh
-    alike. With rows of one class, or none, the score is constant."""
+    rows: distinct buckets and how many of each document's features are in
+    each. Classes weigh alike. With rows of one class, or none, the score is constant."""
     ones = float(labels.sum())
     if not len(labels) or ones in (0.0, float(len(labels))):
         share = (ones + 1) / (len(labels) + 2)
@@ -128,15 +128,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
             slow = 1 - done / steps
             step, move = rate * slow, vector_rate * slow
             done += 1
-            mean = np.stack([shares @ vectors[b] for b, shares in (rows[i] for i in own)])
+            part = [(b, (n / max(n.sum(), 1)).astype(np.float32)) for b, n in (rows[i] for i in own)]
+            mean = np.stack([shares @ vectors[b] for b, shares in part])
             logits = mean @ soft + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             off = (p / p.sum(1, keepdims=True) - onehot[own]) * weigh[own, None] / len(own)
             back = off @ soft.T
             soft -= step * (mean.T @ off)
             bias -= step * off.sum(0)
-            for i, g in zip(own, back, strict=True):
-                b, shares = rows[i]
+            for (b, shares), g in zip(part, back, strict=True):
                 vectors[b] -= move * len(own) * shares[:, None] * g  # buckets of a row are distinct
     return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
@@ -162,9 +162,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 
 def one_each(rows: DataFrame) -> DataFrame:
-    """One row of each doc_id, the least; copies of an id fall away on the map side, before the driver."""
+    """One row of each doc_id, the least; copies of an id fall away on the map side, before the driver.
+
+    In parts of their own, so that the driver's JVM holds some of them at a time."""
     rest = [c for c in rows.columns if c != "doc_id"]
-    return rows.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*").orderBy("doc_id")
+    once = rows.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*")
+    return once.repartition(64, "doc_id")
 
 
 def fit(
@@ -187,22 +190,23 @@ def fit(
 
     docs: doc_id and text; other columns are ignored, null and empty texts have
     no features, labels without a document have no part. Their features are counted on the executors over whole texts; only buckets
-    and shares come to the driver."""
+    and counts come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, shares = [], []
+            ids, counts = [], []
             for _, data, starts in slices(b.column("text")):
                 bucket, owner = features(data, starts, buckets)
                 bucket = bucket[np.argsort(owner, kind="stable")]
                 for part in np.split(bucket, np.cumsum(np.bincount(owner, minlength=len(starts) - 1))[:-1]):
                     own, n = np.unique(part, return_counts=True)
-                    ids.append(own.astype("<i4").tobytes())
-                    shares.append((n / max(n.sum(), 1)).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), pa.array(ids, pa.binary()), pa.array(shares, pa.binary()), b.column("_label")], ["doc_id", "ids", "shares", "label"])
+                    ids.append(own.astype("<u4" if buckets > 1 << 16 else "<u2").tobytes())
+                    counts.append(n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary()), b.column("_label")], ["doc_id", "ids", "counts", "label"])
 
-    rows = one_each(labelled_sample(docs, labels, label, folds, fold, sample).mapInArrow(run, "doc_id string, ids binary, shares binary, label int")).toArrow()
-    made = [(np.frombuffer(a, "<i4"), np.frombuffer(s, "<f4")) for a, s in zip(rows["ids"].to_pylist(), rows["shares"].to_pylist(), strict=True)]
+    rows = one_each(labelled_sample(docs, labels, label, folds, fold, sample).mapInArrow(run, "doc_id string, ids binary, counts binary, label int")).toArrow().sort_by("doc_id")
+    made = [(np.frombuffer(a.as_buffer(), "<u4" if buckets > 1 << 16 else "<u2"), c.as_buffer()) for a, c in zip(rows["ids"], rows["counts"], strict=True)]
+    made = [(a, np.frombuffer(c, f"<u{len(c) // max(len(a), 1)}" if len(a) else "<u1")) for a, c in made]
     return train(made, np.array(rows["label"].to_pylist(), dtype=np.int64), buckets, dim, epochs, rate, vector_rate, batch, seed)
 
 

@@ -414,7 +414,7 @@ def test_quality_scores_by_brute_force():
 def test_a_step_of_training_by_brute_force():
     buckets, dim, rate, move = 8, 3, 0.2, 5.0
     docs = [([0, 1], [0.5, 0.5], 1), ([1, 2, 5], [0.25, 0.5, 0.25], 0), ([3], [1.0], 0)]
-    rows = [(np.array(b), np.array(s, dtype="<f4")) for b, s, _ in docs]
+    rows = [(np.array(b), (np.array(s) * 4).astype("<u1")) for b, s, _ in docs]
     got = quality_classifier.train(rows, np.array([y for *_, y in docs]), buckets, dim, 1, rate, move, 3, 9)
     rng = np.random.default_rng(9)
     vectors, soft, bias = rng.normal(0, 1 / dim, (buckets, dim)), rng.normal(0, 0.5, (dim, 2)), np.zeros(2)
