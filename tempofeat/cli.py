@@ -9,10 +9,11 @@ from pyspark.sql import SparkSession
 
 from tempofeat.config import Settings, load_settings
 from tempofeat.plans.pipeline import FeaturePipeline, write
-from tempofeat.sources.readers import read_events, read_population
+from tempofeat.sources.readers import read_events, read_lookups, read_population
+from tempofeat.storage import read_text
 
 
-def parse(argv: list[str] | None = None) -> tuple[argparse.Namespace, Settings]:
+def parse(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--data_fname", required=True)
     p.add_argument("--population_fname", required=True)
@@ -27,9 +28,14 @@ def parse(argv: list[str] | None = None) -> tuple[argparse.Namespace, Settings]:
     p.add_argument("--N", type=int)
     p.add_argument("--no_prefilter", action="store_true")
     p.add_argument("--no_postfilter", action="store_true")
-    a = p.parse_args(argv)
-    settings = load_settings(
+    p.add_argument("--lookups", nargs="+", default=[], metavar="NAME=FILE", help="tables of coded hierarchies: paths9, paths10, code_map")
+    return p.parse_args(argv)
+
+
+def settings_of(a: argparse.Namespace, spark: SparkSession) -> Settings:
+    return load_settings(
         a.config_fname,
+        read_file=lambda path: read_text(spark, path),
         T=a.T,
         dt=a.dt,
         theta_1=a.theta_1,
@@ -39,17 +45,18 @@ def parse(argv: list[str] | None = None) -> tuple[argparse.Namespace, Settings]:
         N=a.N,
         prefilter=not a.no_prefilter,
         postfilter=not a.no_postfilter,
+        lookups=dict(x.split("=", 1) for x in a.lookups) or None,
     )
-    return a, settings
 
 
 def main(argv: list[str] | None = None) -> None:
-    a, settings = parse(argv)
+    a = parse(argv)
     logging.basicConfig(level=logging.INFO)
     spark = SparkSession.builder.appName("tempofeat").getOrCreate()
+    settings = settings_of(a, spark)
     events = read_events(spark, a.data_fname, settings.column_names)
     population = read_population(spark, a.population_fname, settings.column_names)
-    write(FeaturePipeline(settings).run(events, population), settings, a.output_dir)
+    write(FeaturePipeline(settings, read_lookups(spark, settings.lookups)).run(events, population), settings, a.output_dir)
 
 
 if __name__ == "__main__":

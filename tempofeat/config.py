@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
@@ -20,6 +21,7 @@ DEFAULTS: dict[str, Any] = {
     "discretize": True,
     "use_ordinal_encoding": False,
     "value_types": {},
+    "lookups": {},
 }
 
 
@@ -46,6 +48,8 @@ class Settings:
     S_bins: dict[str, list[float] | None] | None = None
     X_bins: dict[str, list[float] | None] | None = None
     column_names: dict[str, str] = field(default_factory=lambda: dict(DEFAULTS["column_names"]))
+    #: Files of the lookup tables of coded hierarchies: paths9, paths10, code_map.
+    lookups: dict[str, str] = field(default_factory=dict)
     #: Reproduce the truncation of T to whole numbers and the prefixing of nulls.
     strict_compat: bool = False
 
@@ -63,14 +67,16 @@ class Settings:
         return int(self.T) if self.strict_compat else self.T
 
 
-def load_settings(path: str | None, **arguments: Any) -> Settings:
-    """Settings of a YAML file (top-level keys replace the defaults whole) and arguments."""
+def load_settings(path: str | None, read_file: Callable[[str], str] = lambda path: Path(path).read_text(), **arguments: Any) -> Settings:
+    """Settings of a YAML file (top-level keys replace the defaults whole) and arguments.
+
+    read_file: gives the text of a file that is named; by default of a local one."""
     given = copy.deepcopy(DEFAULTS)
     if path:
         import yaml
 
-        given.update(yaml.safe_load(Path(path).read_text()) or {})
-    read = lambda key: json.loads(Path(given[key]).read_text()) if given.get(key) else None
+        given.update(yaml.safe_load(read_file(path)) or {})
+    read = lambda key: json.loads(read_file(given[key])) if given.get(key) else None
     base = {
         "discretize": bool(given["discretize"]),
         "use_ordinal_encoding": bool(given["use_ordinal_encoding"]),
@@ -80,6 +86,7 @@ def load_settings(path: str | None, **arguments: Any) -> Settings:
         "column_names": DEFAULTS["column_names"] | (given["column_names"] or {}),
         "S_bins": read("S_discretization_bins"),
         "X_bins": read("X_discretization_bins"),
+        "lookups": dict(given["lookups"] or {}),
     }
     return Settings(**(base | {k: v for k, v in arguments.items() if v is not None}))
 

@@ -50,11 +50,16 @@ def time_label(k: int, dt: float) -> str:
     return f"[{float(k * dt)}, {float((k + 1) * dt)})"
 
 
-def interval(x: Column, edges: Column) -> Column:
+def interval(x: Column, edges: Column, most: int | None = None) -> Column:
     """Number from 1 of the right-closed interval between edges that holds x.
 
-    The first one holds its left edge too; NULL outside."""
-    k = F.when(x == F.try_element_at(edges, F.lit(1)), 1).otherwise(F.size(F.filter(edges, lambda e: e < x)))
+    The first one holds its left edge too; NULL outside. most: the greatest
+    number of edges, if known; a few are counted in compiled code."""
+    if most is not None and most <= 16:
+        below = sum((F.when(F.get(edges, F.lit(k)) < x, 1).otherwise(0) for k in range(most)), F.lit(0))
+    else:
+        below = F.size(F.filter(edges, lambda e: e < x))
+    k = F.when(x == F.get(edges, F.lit(0)), 1).otherwise(below)
     return F.when((k >= 1) & (k < F.size(edges)), k)
 
 

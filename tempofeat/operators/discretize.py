@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempofeat.storage import fixed
+from tempofeat.operators.lookup import Lookup, look_up, lookup
+from tempofeat.storage import stored
 
 SHARES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
-#: Columns of more numbers get their quantiles by ranks instead of one buffer.
-LARGE = 5_000_000
-#: Ranks that approximate quantiles may be off by, and half the width of the brackets.
-OFF, WIDTH = 1e-4, 2e-4
 
 
 def _interpolated(n: Column, share: float, low: Column, high: Column) -> Column:
@@ -20,61 +17,43 @@ def _interpolated(n: Column, share: float, low: Column, high: Column) -> Column:
     return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
 
 
-def quantiles_by_rank(cells: DataFrame) -> DataFrame:
-    """col and edges, exact, without a buffer of a column's numbers.
-
-    Approximate quantiles give a bracket around each wanted rank. One pass counts
-    what lies below the brackets; only distinct numbers inside are ranked."""
-    numbers = cells.where("num is not null").select("col", "num")
-    inner = SHARES[1:-1]
-    around = [p + d for p in inner for d in (-WIDTH, WIDTH)]
-    rough = fixed(numbers.groupBy("col").agg(F.count("num").alias("n"), F.min("num").alias("least"), F.max("num").alias("most"), F.percentile_approx("num", around, int(1 / OFF)).alias("q")))
-    # a row for each column
-    placed = numbers.join(F.broadcast(rough.select("col", "q")), "col")
-    low, high = (lambda k: F.col("q")[2 * k]), (lambda k: F.col("q")[2 * k + 1])
-    around_it = []
-    for k in range(len(inner)):
-        under, over = F.col("num") < low(k), F.col("num") > high(k)
-        around_it += [F.count_if(under).alias(f"b{k}"), F.max(F.when(under, F.col("num"))).alias(f"u{k}"), F.min(F.when(over, F.col("num"))).alias(f"o{k}")]
-    below = placed.groupBy("col").agg(*around_it)
-    brackets = F.array(*(F.when(F.col("num").between(low(k), high(k)), k) for k in range(len(inner))))
-    inside = placed.withColumn("k", F.explode(F.filter(brackets, lambda k: k.isNotNull()))).groupBy("col", "k", "num").agg(F.count("*").alias("c"))
-    run = Window.partitionBy("col", "k").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("upto", F.sum("c").over(run)).join(F.broadcast(rough.select("col", "n", "least", "most")), "col").join(below, "col")
-    picks = []
-    for k, p in enumerate(inner):
-        at, end = F.lit(p) * (F.col("n") - 1), F.col(f"b{k}") + F.col("upto")
-        for rank in (F.floor(at), F.ceil(at)):
-            within = F.min(F.when((F.col("k") == k) & (end > rank), F.col("num")))
-            # of two neighbouring ranks one may lie just outside the bracket
-            picks.append(F.when(F.first(rank) < F.first(f"b{k}"), F.first(f"u{k}")).otherwise(F.coalesce(within, F.first(f"o{k}"))))
-    found = inside.groupBy("col", "n", "least", "most").agg(*(c.alias(f"v{i}") for i, c in enumerate(picks)))
-    edges = [F.col("least"), *(_interpolated(F.col("n"), p, F.col(f"v{2 * k}"), F.col(f"v{2 * k + 1}")) for k, p in enumerate(inner)), F.col("most")]
-    return found.select("col", F.array_sort(F.array_distinct(F.array(*edges))).alias("edges"))
-
-
-def column_profile(cells: DataFrame, large: int = LARGE) -> DataFrame:
+def column_profile(cells: DataFrame) -> DataFrame:
     """For each column: distinct numbers, cells with numbers and with text, the mean and the edges.
 
-    edges: distinct exact quantiles, or null with two distinct numbers or fewer."""
-    counts = fixed(
-        cells.groupBy("col").agg(
-            F.count_distinct("num").alias("numbers"),
-            F.count("num").alias("n_num"),
-            F.count_if(F.col("num").isNull()).alias("n_text"),
-            F.avg("num").alias("mean"),
-        )
+    edges: distinct exact quantiles, or null with two distinct numbers or fewer.
+    A histogram of each column's distinct numbers is sorted over all tasks; sums
+    of counts up to each number give its ranks, and the numbers at the ranks
+    next to each quantile are picked. No task holds a column's numbers."""
+    counts = cells.groupBy("col", "num").agg(F.count("*").alias("c"))
+    part = F.spark_partition_id().alias("part")
+    hist = stored(counts.repartitionByRange("col", F.col("num").asc_nulls_first()).select("*", part))
+    number = F.col("num").isNotNull()
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    parts = hist.groupBy("col", "part").agg(
+        F.count("num").alias("d"),
+        count(F.when(number, F.col("c"))).alias("n"),
+        count(F.when(~number, F.col("c"))).alias("t"),
+        F.sum(F.col("num") * F.col("c")).alias("s"),
     )
-    wanted = counts.where("numbers > 2")
-
-    def of(some: DataFrame) -> DataFrame:
-        return cells.join(some.select("col"), "col", "left_semi")
-
-    buffered = F.array_sort(F.array_distinct(F.percentile("num", F.lit(list(SHARES)))))
-    edges = of(wanted.where(F.col("n_num") <= large)).groupBy("col").agg(buffered.alias("edges"))
-    if not wanted.where(F.col("n_num") > large).isEmpty():
-        edges = edges.unionByName(quantiles_by_rank(of(wanted.where(F.col("n_num") > large))))
-    return counts.join(edges, "col", "left")
+    # a row for each column and the partitions it lies in; a window holds one column's
+    parts = lookup(parts)
+    column = Window.partitionBy("col")
+    before = F.coalesce(F.sum("n").over(column.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = Lookup(parts.frame.select("col", "part", before.alias("before"), F.sum("n").over(column).alias("n_num"), F.sum("d").over(column).alias("numbers")), parts.small)
+    ranks = look_up(hist.where(number), offsets, ["col", "part"]).where("numbers > 2")
+    # a window holds what one partition has of one column
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("col", "part").orderBy("num"))
+    ranks = ranks.withColumn("upto", upto)
+    picks = []
+    for k, p in enumerate(SHARES):
+        at = F.lit(p) * (F.col("n_num") - 1)
+        for name, rank in (("l", F.floor(at)), ("h", F.ceil(at))):
+            picks.append(F.max(F.when((F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto")), F.col("num"))).alias(f"{name}{k}"))
+    found = ranks.groupBy("col").agg(F.first("n_num").alias("n_num"), *picks)
+    edges = F.array(*(_interpolated(F.col("n_num"), p, F.col(f"l{k}"), F.col(f"h{k}")) for k, p in enumerate(SHARES)))
+    found = found.select("col", F.array_sort(F.array_distinct(edges)).alias("edges"))
+    total = parts.frame.groupBy("col").agg(F.sum("d").alias("numbers"), F.sum("n").alias("n_num"), F.sum("t").alias("n_text"), F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
+    return total.join(found, "col", "left")
 
 
 def predetermined(profile: DataFrame, bins: dict[str, list[float] | None]) -> DataFrame:

@@ -6,14 +6,18 @@ without the zeros of a matrix; an absent cell has the feature's default_value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tempofeat.functions.values import exceeded, interval, interval_labels, number_text
-from tempofeat.storage import fixed
+from tempofeat.operators.discretize import column_profile, predetermined
+from tempofeat.operators.lookup import Lookup, look_up, lookup, numbered_lookup
 from tempofeat.operators.temporal import MASK
+from tempofeat.storage import stored
 
-INTERVAL, ABOVE, TEXT, NUMBER = range(4)
+MASKED, INTERVAL, ABOVE, TEXT, NUMBER = range(-1, 4)
 
 
 def cell_text(cells: DataFrame) -> Column:
@@ -21,29 +25,31 @@ def cell_text(cells: DataFrame) -> Column:
     return F.coalesce("val", number_text(F.col("num")))
 
 
-def encode_discrete(cells: DataFrame, profile: DataFrame, ordinal: bool) -> DataFrame:
+def encode_discrete(cells: DataFrame, profile: Lookup | DataFrame, ordinal: bool) -> DataFrame:
     """Cells with kind, level (place of an interval or edge) and text of their features.
 
     Columns of more than two numbers: intervals, or with `ordinal` all edges that
     are exceeded, and text as it is. Others: their raw values."""
-    rows = cells.join(profile.select("col", "edges"), "col")
+    profile = profile if isinstance(profile, Lookup) else lookup(profile)
+    rows = look_up(cells, Lookup(profile.frame.select("col", "edges"), profile.small), ["col"])
     binned = F.col("edges").isNotNull() & F.col("num").isNotNull()
-    level = lambda kind, k, text: F.struct(F.lit(kind).alias("kind"), k.cast("int").alias("level"), text.alias("text"))
-    none = F.lit(None).cast("string")
+    text = F.when(~binned, cell_text(cells))
     if ordinal:
-        numeric = F.transform(exceeded(F.col("num"), F.col("edges")), lambda k: level(ABOVE, k, none))
+        levels = F.when(binned, exceeded(F.col("num"), F.col("edges"))).otherwise(F.array(F.lit(0).cast("int")))
+        rows = rows.withColumn("level", F.explode(levels))
     else:
-        k = interval(F.col("num"), F.col("edges"))
-        numeric = F.filter(F.array(level(INTERVAL, k, none)), lambda x: x["level"].isNotNull())
-    made = F.when(binned, numeric).otherwise(F.array(level(TEXT, F.lit(0), cell_text(cells))))
-    return rows.withColumn("f", F.explode(made)).select(*cells.columns, "f.*").withColumn("value", F.lit(1.0))
+        most = profile.frame.agg(F.max(F.size("edges"))).head()[0] if profile.small else None
+        rows = rows.withColumn("level", F.when(binned, interval(F.col("num"), F.col("edges"), most)).otherwise(0).cast("int")).where("level is not null")
+    kind = F.when(binned, ABOVE if ordinal else INTERVAL).otherwise(TEXT)
+    return rows.select(*cells.columns, kind.alias("kind"), "level", text.alias("text"), F.lit(1.0).alias("value"))
 
 
-def encode_plain(cells: DataFrame, profile: DataFrame) -> DataFrame:
+def encode_plain(cells: DataFrame, profile: Lookup | DataFrame) -> DataFrame:
     """Cells of columns as numbers, text as one-hot levels; absent numbers get the mean.
 
     A column with numbers and text has both; its text is named {col}_str."""
-    rows = cells.join(profile.select("col", F.col("n_num").alias("has_num")), "col")
+    profile = profile if isinstance(profile, Lookup) else lookup(profile)
+    rows = look_up(cells, Lookup(profile.frame.select("col", F.col("n_num").alias("has_num")), profile.small), ["col"])
     number = F.col("num").isNotNull()
     return rows.select(
         *cells.columns,
@@ -54,57 +60,74 @@ def encode_plain(cells: DataFrame, profile: DataFrame) -> DataFrame:
     )
 
 
-def _names(features: DataFrame, profile: DataFrame, discretize: bool) -> DataFrame:
-    """Names of features; those of intervals are made on the driver from the columns' edges."""
+@F.pandas_udf(ArrayType(StringType()))
+def _labels(edges: pd.Series) -> pd.Series:
+    """Names of a column's intervals."""
+    return edges.map(lambda e: interval_labels([float(x) for x in e]) if e is not None and len(e) > 1 else [])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _steps(edges: pd.Series) -> pd.Series:
+    """Names of a column's edges but the last."""
+    return edges.map(lambda e: [str(float(x)) for x in e[:-1]] if e is not None else [])
+
+
+def _names(features: DataFrame, profile: Lookup, discretize: bool) -> DataFrame:
+    """Names of features; those of intervals and edges come from their columns' edges."""
     if not discretize:
         sep = F.when(F.col("level") == 1, "_str:").otherwise(":")
         return features.withColumn("name", F.when(F.col("kind") == NUMBER, F.col("col")).otherwise(F.concat("col", sep, "text")))
-    rows = []
-    for r in profile.where("edges is not null").select("col", "edges").toLocalIterator():
-        rows += [(r["col"], INTERVAL, k, f"{r['col']}_{label}") for k, label in enumerate(interval_labels(r["edges"]), 1)]
-        rows += [(r["col"], ABOVE, k, f"{r['col']}>{float(e)}") for k, e in enumerate(r["edges"][:-1], 1)]
-    made = features.sparkSession.createDataFrame(rows, "col string, kind int, level int, made string")
-    return features.join(made, ["col", "kind", "level"], "left").withColumn("name", F.coalesce("made", F.concat("col", F.lit("_"), "text"))).drop("made")
+    named = profile.frame.where("edges is not null").select("col", _labels("edges").alias("labels"), _steps("edges").alias("steps"))
+    rows = look_up(features, lookup(named), ["col"], "left")
+    interval_name = F.concat("col", F.lit("_"), F.try_element_at("labels", "level"))
+    step_name = F.concat("col", F.lit(">"), F.try_element_at("steps", "level"))
+    name = F.when(F.col("kind") == INTERVAL, interval_name).when(F.col("kind") == ABOVE, step_name).otherwise(F.concat("col", F.lit("_"), "text"))
+    return rows.withColumn("name", name).drop("labels", "steps")
 
 
-def to_features(cells: DataFrame, keys: list[str], masks: DataFrame | None, settings, bins: dict | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def to_features(cells: DataFrame, keys: list[str], masks: DataFrame | None, settings, bins: dict | None) -> tuple[Lookup, DataFrame, DataFrame]:
     """features, encoded cells (keys, feature_id, value) and the profile of the columns.
 
     cells: keys, col, var, val, num, and for time series grp and ord, which order
     the columns; masks come first, and text split from numbers last. Within a
     column: intervals or edges ascending, then text."""
-    from tempofeat.operators.discretize import column_profile, predetermined
-
     profile = column_profile(cells)
     if settings.discretize:
-        profile = predetermined(profile, bins) if bins is not None else profile
-        profile = fixed(profile)
+        profile = lookup(predetermined(profile, bins) if bins is not None else profile)
         coded = encode_discrete(cells, profile, settings.use_ordinal_encoding)
         last = F.lit(0)
     else:
-        profile = fixed(profile)
+        profile = lookup(profile)
         coded = encode_plain(cells, profile)
         last = F.when((F.col("kind") == TEXT) & (F.col("level") == 1), 1).otherwise(0)
     has_place = "grp" in cells.columns
     place = [F.col("grp"), F.col("ord")] if has_place else [F.lit(0).alias("grp"), F.lit(0).alias("ord")]
-    listed = coded.select("col", "var", *place, "kind", "level", "text", last.alias("last")).distinct()
+    parts = [*keys, "col", "var", *place, "kind", "level", F.coalesce("text", F.lit("")).alias("text"), "value"]
+    coded = coded.select(*parts)
+    if masks is not None:
+        coded = coded.unionByName(masks.select(*keys, "col", "var", "grp", "ord", F.lit(MASKED).alias("kind"), F.lit(0).alias("level"), F.lit("").alias("text"), F.lit(1.0).alias("value")))
+    coded = stored(coded)
+    names = ["col", "var", "grp", "ord", "kind", "level", "text"]
+    listed = coded.select(*names).distinct()
     if settings.discretize and settings.use_ordinal_encoding:
         # every edge but the last is a feature, exceeded or not
-        every = cells.select("col", "var", *place).distinct().join(profile.where("edges is not null").select("col", F.size("edges").alias("n")), "col")
-        every = every.where("n > 1").select("col", "var", "grp", "ord", F.lit(ABOVE).alias("kind"), F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("level"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("last"))
+        edges = Lookup(profile.frame.where("edges is not null").select("col", F.size("edges").alias("n")), profile.small)
+        every = look_up(cells.select("col", "var", *place).distinct(), edges, ["col"]).where("n > 1")
+        every = every.select("col", "var", "grp", "ord", F.lit(ABOVE).alias("kind"), F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("level"), F.lit("").alias("text"))
         listed = listed.unionByName(every).distinct()
-    default = profile.select("col", "mean")
-    listed = _names(listed, profile, settings.discretize).join(default, "col", "left")
-    listed = listed.withColumn("default_value", F.when(F.col("kind") == NUMBER, F.col("mean")).otherwise(0.0)).drop("mean")
+    listed = lookup(listed.withColumn("last", last))
+    named = _names(listed.frame.where(F.col("kind") != MASKED), profile, settings.discretize)
     if masks is not None:
-        listed = listed.unionByName(masks.select("col", "var", "grp", "ord").distinct().select("*", F.lit(-1).alias("kind"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("last"), F.col("col").alias("name"), F.lit(0.0).alias("default_value")))
-    # the dictionary of features is small against the cells: one task numbers it
+        named = named.unionByName(listed.frame.where(F.col("kind") == MASKED).withColumn("name", F.col("col")))
+    means = Lookup(profile.frame.select("col", "mean"), profile.small)
+    named = look_up(named, means, ["col"], "left")
+    named = named.withColumn("default_value", F.when(F.col("kind") == NUMBER, F.col("mean")).otherwise(0.0)).drop("mean")
     first = F.when(F.col("grp") == MASK, 0).otherwise(1) if has_place else F.lit(1)
     order = [first, *map(F.col, ("last", "grp", "var", "ord", "col", "kind", "level", "text"))]
-    features = fixed(listed.withColumn("feature_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")))
-    on = (coded["col"] == features["col"]) & (coded["kind"] == features["kind"]) & (coded["level"] == features["level"]) & coded["text"].eqNullSafe(features["text"])
-    out = coded.join(features.select("col", "kind", "level", "text", "feature_id"), on).select(*(coded[k] for k in keys), "feature_id", coded["value"])
-    if masks is not None:
-        ids = features.where("kind = -1").select("col", "feature_id")
-        out = out.unionByName(masks.join(ids, "col").select(*keys, "feature_id", F.lit(1.0).alias("value")))
-    return features.select("feature_id", "name", "col", "kind", "level", "text", "default_value"), out, profile
+    features = numbered_lookup(Lookup(named, listed.small), order, "feature_id")
+    features = lookup(features.frame)
+    on = ["col", "kind", "level", "text"]
+    ids = Lookup(features.frame.select(*on, "feature_id"), features.small)
+    out = look_up(coded.select(*keys, *on, "value"), ids, on).select(*keys, "feature_id", "value")
+    shown = features.frame.withColumn("text", F.when(F.col("kind") == TEXT, F.col("text")))
+    return Lookup(shown.select("feature_id", "name", "col", "kind", "level", "text", "default_value"), features.small), out, profile.frame

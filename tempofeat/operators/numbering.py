@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempofeat.storage import fixed
+from tempofeat.operators.lookup import in_order
 
 
 def numbered(population: DataFrame, first: int | None = None) -> DataFrame:
-    """ID and id_idx, its place from 0 in the order of ids; the first ids alone if wanted.
-
-    A range-partitioned sort and the sizes of its partitions give the places, so
-    that no single task sees all ids."""
+    """ID and id_idx, its place from 0 in the order of ids; the first ids alone if wanted."""
     ids = population.select("ID").where("ID is not null").distinct()
     if first is not None:
         ids = ids.orderBy("ID").limit(first)
-    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    ranged = fixed(ids.repartitionByRange("ID").sortWithinPartitions("ID").select("ID", F.spark_partition_id().alias("part"), inside.alias("at")))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
-    # a row for each partition
-    return ranged.join(F.broadcast(offsets), "part").select("ID", (F.col("before") + F.col("at")).alias("id_idx"))
+    return in_order(ids, [F.col("ID")], "id_idx")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tempofeat.config import Settings
 from tempofeat.functions.values import is_numeric
+from tempofeat.operators.lookup import Lookup, look_up, lookup
 
 
 def in_population(events: DataFrame, population: DataFrame) -> DataFrame:
@@ -54,10 +55,25 @@ def occurrence(events: DataFrame, entities: int) -> DataFrame:
 def drop_rare(events: DataFrame, entities: int, theta_1: float) -> DataFrame:
     """Rows of variables that more than a share theta_1 of the entities have."""
     kept = occurrence(events, entities).where(F.col("share") > F.lit(float(theta_1))).select("var")
-    return events.join(kept, "var", "left_semi")
+    return look_up(events, lookup(kept), ["var"], "left_semi")
+
+
+def checked(rows: DataFrame, entities: int, settings: Settings) -> Lookup:
+    """The variables that are not rare; fails where `require_consistent` would.
+
+    One pass counts an entity's rows at one time, and from these the entities of
+    each variable."""
+    numbers = F.count_if(is_numeric(F.col("val"))) > 0
+    text = F.col("var").isin(text_variables(settings.value_types)) if settings.value_types else F.lit(False)
+    groups = rows.groupBy("ID", "t", "var").agg(((F.count("*") > 1) & numbers).alias("clash"))
+    ids = groups.groupBy("var", "ID").agg(F.max(F.col("clash") & ~text).alias("clash"))
+    shares = lookup(ids.groupBy("var").agg((F.count("ID") / F.lit(entities)).alias("share"), F.max("clash").alias("clash")))
+    if not shares.frame.where("clash").isEmpty():
+        require_consistent(rows, settings)
+    kept = shares.frame.where(F.col("share") > F.lit(float(settings.theta_1))).select("var")
+    return Lookup(kept, shares.small)
 
 
 def prefilter(events: DataFrame, population: DataFrame, entities: int, settings: Settings) -> DataFrame:
     rows = in_time(in_population(events, population), settings.until)
-    require_consistent(rows, settings)
-    return drop_rare(rows, entities, settings.theta_1)
+    return look_up(rows, checked(rows, entities, settings), ["var"], "left_semi")

@@ -13,18 +13,17 @@ from pyspark.sql import functions as F
 from tempofeat.config import Settings
 from tempofeat.functions.statistics import statistic
 from tempofeat.functions.values import time_bin, to_double
-from tempofeat.storage import fixed
+from tempofeat.operators.lookup import Lookup, look_up, lookup
 
 #: Places of the groups of columns.
 PLAIN, MASK, DELTA, VALUE, STATS = range(5)
-#: Names of frequent variables are part of the plan; more than this fails.
-MOST_FREQUENT = 20_000
 
 
-def frequent_numeric(events: DataFrame, types: DataFrame, population: DataFrame, entities: int, settings: Settings) -> DataFrame:
+def frequent_numeric(events: DataFrame, types: Lookup | DataFrame, population: DataFrame, entities: int, settings: Settings) -> DataFrame:
     """Numeric variables with theta_freq recordings per entity and bin on average."""
     counts = events.join(population.select("ID"), "ID", "left_semi").groupBy("var").agg(F.count("*").alias("n"))
     often = counts.where(F.col("n") / F.lit(entities) >= F.lit(float(settings.theta_freq * settings.L)))
+    types = types.frame if isinstance(types, Lookup) else types
     return often.join(types.where(F.col("value_type") == "Numeric").select("var"), "var", "left_semi").select("var")
 
 
@@ -48,31 +47,30 @@ def observed(rows: DataFrame, stats: tuple[str, ...]) -> DataFrame:
     return numbers.groupBy("ID", "bin", "var").agg(F.max_by("v", order).alias("last"), *aggregates)
 
 
-def filled(rows: DataFrame, population: DataFrame, names: list[str], settings: Settings) -> DataFrame:
+def filled(rows: DataFrame, population: DataFrame, often: Lookup, settings: Settings) -> DataFrame:
     """mask, delta, value and statistics in every bin of the frequent variables.
 
     A bin without events carries the last value before it forward, as if that
     were its only event; delta counts the bins since then. Before the first
     event there is nothing. No grid is shuffled: each bin with events is
-    followed by the bins up to the next one, made in place."""
+    followed by the bins up to the next one, made in place, and the bins before
+    the first follow a start that every entity and variable has."""
     stats, bins = settings.stats, settings.L
-    seen = observed(rows.where(F.col("var").isin(names)), stats)
+    seen = observed(look_up(rows, often, ["var"], "left_semi"), stats)
+    # a row for each entity and frequent variable: the result has L of them
+    pairs = look_up(population.select("ID", F.explode(F.lit([0])).alias("one")), Lookup(often.frame.select("var", F.lit(0).alias("one")), often.small), ["one"])
+    starts = pairs.select("ID", F.lit(-1).alias("bin"), "var", *(F.lit(None).cast(t).alias(c) for c, t in seen.dtypes[3:]))
     by_bin = Window.partitionBy("ID", "var").orderBy("bin")
-    seen = seen.withColumns({"next": F.coalesce(F.lead("bin").over(by_bin), F.lit(bins)), "first": F.lag("bin").over(by_bin).isNull()})
-    seen = fixed(seen)
-    begin = F.when(F.col("first"), 0).otherwise(F.col("bin"))
-    each = seen.withColumn("b", F.explode(F.sequence(begin, F.col("next") - 1)))
-    mask, known = F.col("b") == F.col("bin"), F.col("b") >= F.col("bin")
+    seen = seen.unionByName(starts).withColumn("next", F.coalesce(F.lead("bin").over(by_bin), F.lit(bins)))
+    seen = seen.where("next > greatest(bin, 0)")
+    each = seen.withColumn("b", F.explode(F.sequence(F.greatest("bin", F.lit(0)), F.col("next") - 1)))
+    known = F.col("bin") >= 0
+    mask, later = F.col("b") == F.col("bin"), F.col("next") < bins  # later: the entity has the variable in some bin
     values = []
     for i, name in enumerate(stats):
         s = statistic(name)
-        values.append(F.when(mask, F.col(f"s_{i}")).when(known, s.carried(F.col("last"))).otherwise(F.lit(s.empty).cast("double")).cast("double").alias(f"s_{i}"))
-    present = each.select("ID", F.col("b").alias("bin"), "var", mask.alias("mask"), F.greatest(F.col("b") - F.col("bin"), F.lit(0)).alias("delta"), F.when(known, F.col("last")).alias("value"), *values)
-
-    pairs = population.select("ID", F.explode(F.lit(names)).alias("var")).join(seen.where("first").select("ID", "var"), ["ID", "var"], "left_anti")
-    nothing = [F.lit(None).cast("double").alias(c) for c in ("value", *(f"s_{i}" for i in range(len(stats))))]
-    absent = pairs.select("ID", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "var", F.lit(False).alias("mask"), F.lit(0).alias("delta"), *nothing)
-    return present.unionByName(absent)
+        values.append(F.when(mask, F.col(f"s_{i}")).when(known, s.carried(F.col("last"))).when(later, F.lit(s.empty).cast("double")).cast("double").alias(f"s_{i}"))
+    return each.select("ID", F.col("b").alias("bin"), "var", mask.alias("mask"), F.when(known, F.col("b") - F.col("bin")).otherwise(0).alias("delta"), F.when(known, F.col("last")).alias("value"), *values)
 
 
 def filled_cells(table: DataFrame, stats: tuple[str, ...]) -> DataFrame:
@@ -92,17 +90,14 @@ def filled_cells(table: DataFrame, stats: tuple[str, ...]) -> DataFrame:
     return rows.select("ID", "bin", "var", "c.col", "c.grp", "c.ord", "c.val", "c.num")
 
 
-def series(events: DataFrame, types: DataFrame, population: DataFrame, entities: int, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
+def series(events: DataFrame, types: Lookup | DataFrame, population: DataFrame, entities: int, settings: Settings) -> tuple[DataFrame, DataFrame | None]:
     """Cells of all time-stamped variables, and the filled table of the frequent ones."""
-    often = frequent_numeric(events, types, population, entities, settings)
-    names = sorted(r["var"] for r in often.limit(MOST_FREQUENT + 1).collect())
-    if len(names) > MOST_FREQUENT:
-        raise ValueError(f"over {MOST_FREQUENT} frequent variables")
+    often = lookup(frequent_numeric(events, types, population, entities, settings))
     rows = binned(events, population, settings)
-    if not names:
+    if often.frame.isEmpty():
         return latest(rows), None
-    table = filled(rows, population, names, settings)
-    plain = latest(rows.where(~F.col("var").isin(names)))
+    table = filled(rows, population, often, settings)
+    plain = latest(look_up(rows, often, ["var"], "left_anti"))
     return plain.unionByName(filled_cells(table, settings.stats)), table
 
 

@@ -6,40 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempofeat.functions.values import is_numeric
+from tempofeat.operators.lookup import Lookup, look_up, lookup
 
 
 def detect(events: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
-    """var and value_type: None, Numeric, Numeric + Categorical, Categorical, or the override."""
-    number = is_numeric(F.col("val"))
-    counted = events.groupBy("var").agg(F.count("val").alias("n"), F.count_if(number).alias("numbers"))
+    """var, value_type (None, Numeric, Numeric + Categorical, Categorical, or the
+    override) and numeric: whether any value reads as a number."""
+    counted = events.groupBy("var").agg(F.count("val").alias("n"), F.count_if(is_numeric(F.col("val"))).alias("numbers"))
     inferred = F.when(F.col("n") == 0, "None").when(F.col("numbers") == F.col("n"), "Numeric").when(F.col("numbers") > 0, "Numeric + Categorical").otherwise("Categorical")
     for name, kind in (overrides or {}).items():
         inferred = F.when(F.col("var") == name, kind).otherwise(inferred)
-    return counted.select("var", inferred.alias("value_type"))
+    return counted.select("var", inferred.alias("value_type"), (F.col("numbers") > 0).alias("numeric"))
 
 
-def force_categorical(events: DataFrame, overrides: dict[str, str], prefix_nulls: bool = False) -> DataFrame:
+def forced_variables(overrides: dict[str, str]) -> list[str]:
+    return [v for v, k in overrides.items() if k == "Categorical" or "hierarchical" in k.lower()]
+
+
+def force_categorical(events: DataFrame, overrides: dict[str, str], prefix_nulls: bool = False, types: Lookup | None = None) -> DataFrame:
     """Values of variables overridden as Categorical, and of hierarchical ones, as text
-    that no longer reads as a number: prefixed with _ if any of the values does."""
-    plain = [v for v, k in overrides.items() if k == "Categorical"]
-    tree = [v for v, k in overrides.items() if "hierarchical" in k.lower()]
-    if not plain and not tree:
+    that no longer reads as a number: prefixed with _ if any of the values does.
+
+    types: what `detect` found in these events, if known."""
+    names = forced_variables(overrides)
+    if not names:
         return events
-    own = events.where(F.col("var").isin(plain + tree))
-    numeric = own.groupBy("var").agg(F.max(is_numeric(F.col("val"))).alias("numeric")).where("numeric").select("var")
+    own = types.frame if types else detect(events.where(F.col("var").isin(names)))
+    numeric = own.where("numeric").where(F.col("var").isin(names)).select("var", F.lit(True).alias("forced"))
     # at most one row for each override
-    marked = events.join(F.broadcast(numeric.withColumn("forced", F.lit(True))), "var", "left")
+    marked = events.join(F.broadcast(numeric), "var", "left")
     value = F.concat(F.lit("_"), F.coalesce("val", F.lit("nan")) if prefix_nulls else F.col("val"))
     return marked.withColumn("val", F.when(F.col("forced"), value).otherwise(F.col("val"))).select(*events.columns)
 
 
-def premap_duplicates(events: DataFrame, types: DataFrame) -> DataFrame:
+def premap_duplicates(events: DataFrame, types: Lookup | DataFrame) -> DataFrame:
     """Rows of text variables that share ID, t and variable become variables of their
     own, {var}:{value} with value 1; the variable's other rows stay.
 
     Counts are joined in, so that an entity with very many rows is no single task."""
-    text = types.where(~F.lower("value_type").contains("numeric") & ~F.lower("value_type").contains("none")).select("var", F.lit(True).alias("is_text"))
-    rows = events.join(text, "var", "left")
+    types = types if isinstance(types, Lookup) else lookup(types)
+    text = types.frame.where(~F.lower("value_type").contains("numeric") & ~F.lower("value_type").contains("none")).select("var", F.lit(True).alias("is_text"))
+    rows = look_up(events, Lookup(text, types.small), ["var"], "left")
     twice = rows.where("is_text").groupBy("ID", "t", "var").agg(F.count("*").alias("n")).where("n > 1")
     twice = twice.select(F.col("ID").alias("d_id"), F.col("t").alias("d_t"), F.col("var").alias("d_var"))
     on = rows["ID"].eqNullSafe(twice["d_id"]) & rows["t"].eqNullSafe(twice["d_t"]) & (rows["var"] == twice["d_var"])
@@ -57,7 +64,5 @@ def timeless(events: DataFrame) -> DataFrame:
 
 def split(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of time-invariant and of time-stamped variables."""
-    names = timeless(events)
-    return events.join(names, "var", "left_semi").select(*events.columns), events.join(names, "var", "left_anti").select(*events.columns)
-
-
+    names = lookup(timeless(events))
+    return tuple(look_up(events, names, ["var"], how).select(*events.columns) for how in ("left_semi", "left_anti"))

@@ -12,9 +12,11 @@ from tempofeat.config import Settings
 from tempofeat.functions.values import time_label
 from tempofeat.operators import encode, hierarchy, invariant, postfilter, prefilter, temporal, value_types
 from tempofeat.operators.discretize import edges_by_column
+from tempofeat.operators.lookup import Lookup, lookup
 from tempofeat.operators.numbering import numbered
+from tempofeat.sources.readers import with_common_ids
 from tempofeat.sources.writers import write_csv, write_features
-from tempofeat.storage import fixed
+from tempofeat.storage import stored
 
 log = logging.getLogger(__name__)
 
@@ -52,43 +54,47 @@ class FeaturePipeline:
         """Typed events, types, the numbered population and its size.
 
         A given N truncates the population for everything."""
+        _, events, types, people, n = self._prepare(events, population)
+        return events, types.frame.select("var", "value_type"), people, n
+
+    def _prepare(self, events: DataFrame, population: DataFrame) -> tuple[DataFrame, DataFrame, Lookup, DataFrame, int]:
         s = self.settings
-        people = fixed(numbered(population, s.N))
+        events, population = with_common_ids(events, population)
+        people = stored(numbered(population, s.N))
         n = people.count()
         if not n:
             raise ValueError("the population is empty")
-        # several statistics are taken of the events before they are used, so they are
-        # written in between: nothing is computed twice, and plans stay small
-        events = prefilter.prefilter(events, people, n, s) if s.prefilter else events
-        events = fixed(hierarchy.expand(events, s.value_types, s.hierarchical_sep, s.hierarchical_levels, self.lookups))
-        types = fixed(value_types.detect(events, s.value_types))
-        events = value_types.force_categorical(events, s.value_types, s.strict_compat)
-        return fixed(value_types.premap_duplicates(events, types)), types, people, n
+        if s.prefilter:
+            events = prefilter.prefilter(events, people, n, s)
+        # both are read several times from here on: each is written once
+        kept = stored(events)
+        events = hierarchy.expand(kept, s.value_types, s.hierarchical_sep, s.hierarchical_levels, self.lookups)
+        types = lookup(value_types.detect(events, s.value_types))
+        events = value_types.force_categorical(events, s.value_types, s.strict_compat, types)
+        return kept, stored(value_types.premap_duplicates(events, types)), types, people, n
 
     def run(self, events: DataFrame, population: DataFrame) -> Result:
-        given, s = events, self.settings
-        events, types, people, n = self.prepare(events, population)
-        prefiltered = prefilter.drop_rare(prefilter.in_time(prefilter.in_population(given, people), s.until), n, s.theta_1) if s.prefilter else given
+        prefiltered, events, types, people, n = self._prepare(events, population)
         still, series = value_types.split(events)
         filled = None
         S = self._invariant(still, people, n) if not still.isEmpty() else None
         X = None
         if not series.isEmpty():
             X, filled = self._series(series, types, people, n)
-        return Result(people, prefiltered, events, types, S, X, filled)
+        return Result(people, prefiltered, events, types.frame.select("var", "value_type"), S, X, filled)
 
     def _invariant(self, events: DataFrame, people: DataFrame, n: int) -> Matrix:
         s = self.settings
         cells = invariant.last_values(events, people)
-        features, coded, profile = encode.to_features(fixed(cells), ["ID"], None, s, s.S_bins)
+        features, coded, profile = encode.to_features(stored(cells), ["ID"], None, s, s.S_bins)
         coded = coded.join(people, "ID").select(F.col("id_idx").alias("row_id"), "ID", "feature_id", "value")
         verdict = lambda features, cells: postfilter.near_constant(features, cells, n, s.theta_2)
         return self._matrix(features, coded, profile, verdict, people.select(F.col("id_idx").alias("row_id")), n)
 
-    def _series(self, events: DataFrame, types: DataFrame, people: DataFrame, n: int) -> tuple[Matrix, DataFrame | None]:
+    def _series(self, events: DataFrame, types: Lookup | DataFrame, people: DataFrame, n: int) -> tuple[Matrix, DataFrame | None]:
         s = self.settings
         cells, filled = temporal.series(events, types, people, n, s)
-        cells = fixed(cells)
+        cells = stored(cells)
         masks = cells.where(F.col("grp") == temporal.MASK)
         others = cells.where(F.col("grp") != temporal.MASK)
         features, coded, profile = encode.to_features(others, ["ID", "bin"], masks, s, s.X_bins)
@@ -97,12 +103,11 @@ class FeaturePipeline:
         rows = people.select(F.explode(F.sequence(F.col("id_idx") * s.L, F.col("id_idx") * s.L + s.L - 1)).alias("row_id"))
         return self._matrix(features, coded, profile, verdict, rows, n * s.L), filled
 
-    def _matrix(self, features, cells, profile, verdict, row_ids, rows: int) -> Matrix:
+    def _matrix(self, features: Lookup, cells, profile, verdict, row_ids, rows: int) -> Matrix:
         if not self.settings.postfilter:
-            return Matrix(features, cells, profile, features, cells, None, rows)
-        features, cells = fixed(features), fixed(cells)
+            return Matrix(features.frame, cells, profile, features.frame, cells, None, rows)
         kept, own, aliases = postfilter.select(features, cells, verdict(features, cells), row_ids, rows)
-        return Matrix(features, cells, profile, kept, own, aliases, rows)
+        return Matrix(features.frame, cells, profile, kept, own, aliases, rows)
 
     def frozen(self, result: Result) -> FeaturePipeline:
         """The pipeline with this result's edges, for other data."""
@@ -144,7 +149,7 @@ def density(matrix: Matrix) -> float:
 
 def write(result: Result, settings: Settings, out: str) -> None:
     """All artifacts of a run into a folder, which is created."""
-    write_csv(result.population.select("ID").orderBy("ID").coalesce(1), f"{out}/IDs.csv")
+    write_csv(result.population.select("ID").orderBy("ID"), f"{out}/IDs.csv")
     result.prefiltered.drop("row_idx").write.mode("overwrite").parquet(f"{out}/pre-filtered.parquet")
     write_csv(result.types.select(F.col("var").alias("variable_name"), "value_type").orderBy("variable_name"), f"{out}/value_types.csv", quote_all=True)
     for name, m in (("S", result.S), ("X", result.X)):

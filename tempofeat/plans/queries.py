@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tempofeat.config import Settings
 from tempofeat.functions.values import NUMERIC, time_bin, to_double
 from tempofeat.operators import discretize, encode, hierarchy, invariant, postfilter, prefilter, temporal, value_types
+from tempofeat.operators.lookup import lookup
 from tempofeat.operators.numbering import numbered
 from tempofeat.plans.pipeline import FeaturePipeline, row_labels
 from tempofeat.plans.views import SETTINGS, events, population
@@ -161,7 +162,7 @@ def _parts(spark, d):
 
 def _filled(spark, d, settings: Settings = SETTINGS):
     _, series, types, people, n = _parts(spark, d)
-    often = sorted(r["var"] for r in temporal.frequent_numeric(series, types, people, n, settings).collect())
+    often = lookup(temporal.frequent_numeric(series, types, people, n, settings))
     return temporal.filled(temporal.binned(series, people, settings), people, often, settings)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempofeat.functions.values import missing, to_double
+from tempofeat.storage import read_text
 
 COLUMNS = {"ID": "ID", "t": "t", "var_name": "variable_name", "var_value": "variable_value"}
 
@@ -35,12 +36,16 @@ def events_from(df: DataFrame, names: dict[str, str] = COLUMNS, order: list[Colu
     )
 
 
-def _ids(df: DataFrame, name: str) -> DataFrame:
-    """Text ids become numbers if all of them are whole ones."""
-    if dict(df.dtypes)[name] != "string":
-        return df
-    odd = df.where(F.col(name).isNotNull() & F.col(name).try_cast("bigint").isNull()).isEmpty()
-    return df.withColumn(name, F.col(name).cast("bigint")) if odd else df
+def with_common_ids(events: DataFrame, population: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ids of one type, decided once: text ids become numbers if all of both
+    tables are whole ones; else, if the types differ, all are text."""
+    kinds = [dict(df.dtypes)["ID"] for df in (events, population)]
+    if "string" not in kinds:
+        return events, population
+    texts = [df for df, kind in zip((events, population), kinds, strict=True) if kind == "string"]
+    whole = lambda df: df.where(F.col("ID").isNotNull() & F.col("ID").try_cast("bigint").isNull()).isEmpty()
+    kind = "bigint" if all(whole(df) for df in texts) else "string"
+    return tuple(df.withColumn("ID", F.col("ID").cast(kind)) if dict(df.dtypes)["ID"] != kind else df for df in (events, population))
 
 
 def read_events(spark: SparkSession, path: str, names: dict[str, str] = COLUMNS) -> DataFrame:
@@ -49,7 +54,7 @@ def read_events(spark: SparkSession, path: str, names: dict[str, str] = COLUMNS)
     files = lambda df: df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     suffix = Path(path).suffix
     if suffix == ".csv":
-        return events_from(_ids(files(spark.read.csv(path, header=True)), names["ID"]), names, place)
+        return events_from(files(spark.read.csv(path, header=True)), names, place)
     if suffix in (".parquet", ".orc", ".json"):
         return events_from(files(getattr(spark.read, suffix[1:])(path)), names, place)
     if suffix in (".p", ".pickle"):
@@ -64,16 +69,41 @@ def read_events(spark: SparkSession, path: str, names: dict[str, str] = COLUMNS)
 
 
 def read_population(spark: SparkSession, path: str, names: dict[str, str] = COLUMNS) -> DataFrame:
-    """The distinct ids of a population file."""
-    df = spark.read.csv(path, header=True) if path.endswith(".csv") else spark.read.parquet(path)
-    return _ids(df.select(F.col(names["ID"]).alias("ID")), "ID").where("ID is not null").distinct()
+    """The distinct ids of a population: a .csv, .parquet, .orc, .json, .p or .pickle file, or a catalog table."""
+    suffix = Path(path).suffix
+    if suffix == ".csv":
+        df = spark.read.csv(path, header=True)
+    elif suffix in (".parquet", ".orc", ".json"):
+        df = getattr(spark.read, suffix[1:])(path)
+    elif suffix in (".p", ".pickle"):
+        import pandas as pd  # a local file of the old format; trusted input only
+
+        df = spark.createDataFrame(pd.read_pickle(path))
+    elif suffix == "" and spark.catalog.tableExists(path):
+        df = spark.table(path)
+    else:
+        raise ValueError(f"cannot read a population from {path!r}: neither csv, parquet, orc, json, pickle nor a table")
+    return df.select(F.col(names["ID"]).alias("ID")).where("ID is not null").distinct()
 
 
-def read_bins(path: str) -> dict[str, list[float] | None]:
+def read_bins(spark: SparkSession, path: str) -> dict[str, list[float] | None]:
     """Predetermined edges by column, as `write_json` leaves them."""
-    return json.loads(Path(path).read_text())
+    return json.loads(read_text(spark, path))
 
 
 def read_code_map(spark: SparkSession, path: str) -> DataFrame:
     """A pipe-separated table without header: code9, code10, description."""
     return spark.read.csv(path, sep="|", schema="code9 string, code10 string, description string").select("code9", "code10")
+
+
+def read_paths(spark: SparkSession, path: str) -> DataFrame:
+    """A hierarchy of codes: a pipe-separated table without header, of a code and
+    its path, the names from the root to the code itself, joined by `/`."""
+    rows = spark.read.csv(path, sep="|", schema="code string, path string")
+    return rows.select("code", F.split("path", "/").alias("path"))
+
+
+def read_lookups(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame] | None:
+    """The lookup tables of coded hierarchies that paths names: paths9, paths10, code_map."""
+    readers = {"paths9": read_paths, "paths10": read_paths, "code_map": read_code_map}
+    return {name: readers[name](spark, path) for name, path in paths.items()} or None

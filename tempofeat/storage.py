@@ -64,3 +64,10 @@ def read_text(spark: SparkSession, path: str) -> str:
         return bytes(stream.readAllBytes()).decode()
     finally:
         stream.close()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as a Parquet table in the shared folder and reread: readers take the columns they need."""
+    folder = new_folder(df.sparkSession, "stored")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
