@@ -104,3 +104,8 @@ def series(events: DataFrame, types: Lookup | DataFrame, population: DataFrame,
 def imputation_counts(table: DataFrame) -> DataFrame:
     """For each frequent variable the bins that carry a value, and those that have none yet."""
     return table.groupBy("var").agg(F.count_if(~F.col("mask") & (F.col("delta") > 0)).alias("imputed"), F.count_if(~F.col("mask") & (F.col("delta") == 0)).alias("not_imputed"))
+
+
+def missing_entries(cells: DataFrame, rows: int) -> DataFrame:
+    """For each column that has any value the rows of the time series without and with one."""
+    return cells.groupBy("col").agg((F.lit(rows).cast("long") - F.count("*")).alias("missing"), F.count("*").alias("present"))

@@ -43,15 +43,16 @@ def premap_duplicates(events: DataFrame, types: Lookup | DataFrame) -> DataFrame
     """Rows of text variables that share ID, t and variable become variables of their
     own, {var}:{value} with value 1; the variable's other rows stay.
 
-    Counts are joined in, so that an entity with very many rows is no single task."""
+    The duplicates are looked up, so that an entity with very many rows is no single task."""
     types = types if isinstance(types, Lookup) else lookup(types)
     text = types.frame.where(~F.lower("value_type").contains("numeric") & ~F.lower("value_type").contains("none")).select("var", F.lit(True).alias("is_text"))
     rows = look_up(events, Lookup(text, types.small), ["var"], "left")
-    twice = rows.where("is_text").groupBy("ID", "t", "var").agg(F.count("*").alias("n")).where("n > 1")
-    twice = twice.select(F.col("ID").alias("d_id"), F.col("t").alias("d_t"), F.col("var").alias("d_var"))
-    on = rows["ID"].eqNullSafe(twice["d_id"]) & rows["t"].eqNullSafe(twice["d_t"]) & (rows["var"] == twice["d_var"])
-    rows = rows.join(twice, on, "left")
-    dup = F.col("d_var").isNotNull()
+    # a missing time is a time of its own
+    rows = rows.withColumns({"t_null": F.col("t").isNull(), "t_key": F.coalesce("t", F.lit(0.0))})
+    on = ["ID", "t_null", "t_key", "var"]
+    twice = rows.where("is_text").groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").select(*on, F.lit(True).alias("twice"))
+    rows = look_up(rows, lookup(twice), on, "left")
+    dup = F.col("twice").isNotNull()
     named = F.concat(F.col("var"), F.lit(":"), F.coalesce("val", F.lit("nan")))
     out = rows.withColumns({"val": F.when(dup, F.lit("1")).otherwise(F.col("val")), "var": F.when(dup, named).otherwise(F.col("var"))})
     return out.select(*events.columns)

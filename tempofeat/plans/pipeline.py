@@ -12,7 +12,7 @@ from tempofeat.config import Settings
 from tempofeat.functions.values import time_label
 from tempofeat.operators import encode, hierarchy, invariant, postfilter, prefilter, temporal, value_types
 from tempofeat.operators.discretize import edges_by_column
-from tempofeat.operators.lookup import Lookup, lookup
+from tempofeat.operators.lookup import Lookup, look_up, lookup
 from tempofeat.operators.numbering import numbered
 from tempofeat.sources.readers import with_common_ids
 from tempofeat.sources.writers import write_csv, write_features
@@ -64,10 +64,10 @@ class FeaturePipeline:
         n = people.count()
         if not n:
             raise ValueError("the population is empty")
-        if s.prefilter:
-            events = prefilter.prefilter(events, people, n, s)
         # both are read several times from here on: each is written once
-        kept = stored(events)
+        kept = stored(prefilter.in_time(prefilter.in_population(events, people), s.until) if s.prefilter else events)
+        if s.prefilter:
+            kept = look_up(kept, prefilter.checked(kept, n, s), ["var"], "left_semi")
         events = hierarchy.expand(kept, s.value_types, s.hierarchical_sep, s.hierarchical_levels, self.lookups)
         types = lookup(value_types.detect(events, s.value_types))
         events = value_types.force_categorical(events, s.value_types, s.strict_compat, types)
@@ -167,3 +167,5 @@ def write(result: Result, settings: Settings, out: str) -> None:
         counts = temporal.imputation_counts(result.filled)
         write_csv(counts.select("var", "imputed"), f"{out}/freq_imputed.csv")
         write_csv(counts.select("var", "not_imputed"), f"{out}/freq_not_imputed.csv")
+        # the time series before encoding, each frequent variable and bin
+        result.filled.write.mode("overwrite").parquet(f"{out}/time_series.parquet")

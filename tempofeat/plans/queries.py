@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import replace
@@ -14,8 +15,10 @@ from tempofeat.functions.values import NUMERIC, time_bin, to_double
 from tempofeat.operators import discretize, encode, hierarchy, invariant, postfilter, prefilter, temporal, value_types
 from tempofeat.operators.lookup import lookup
 from tempofeat.operators.numbering import numbered
-from tempofeat.plans.pipeline import FeaturePipeline, row_labels
+from tempofeat.plans.pipeline import FeaturePipeline, row_labels, write
 from tempofeat.plans.views import SETTINGS, events, population
+from tempofeat.sources.readers import read_events, read_population, with_common_ids
+from tempofeat.storage import new_folder, read_text
 
 MANY_STATS = ("median", "std", "var", "sum", "prod", "count", "nunique", "first", "last", "skew", "slope", "sem")
 GIVEN_EDGES = [0.0, 25.0, 50.0, 100.0, 200.0]
@@ -71,6 +74,13 @@ def _pairs(coded: str, rows: str) -> str:
   LEFT JOIN (SELECT x.fid AS i, y.fid AS j, count(*)::DOUBLE AS xy FROM {coded} x JOIN {coded} y ON x.rid = y.rid AND x.fid > y.fid GROUP BY ALL) p ON p.i = a.fid AND p.j = b.fid"""
 
 
+def _names(features: str, profile: str) -> str:
+    """fid and name; edges are shown with three decimals, or three digits below one, the first a thousandth lower."""
+    shown = "CASE WHEN e = 0 THEN 0.0 WHEN abs(e) >= 1 THEN round(e, 3) ELSE round(e, (2 - floor(log10(abs(e))))::INTEGER) END"
+    breaks = f"list_transform(edges, lambda e, k: CASE WHEN k = 1 THEN round({shown} - 0.001, 12) ELSE {shown} END)"
+    return f"SELECT fid, CASE kind WHEN -1 THEN col WHEN 0 THEN col || '_(' || breaks[level] || ', ' || breaks[level + 1] || ']' ELSE col || '_' || text END AS name FROM {features} LEFT JOIN (SELECT col, {breaks} AS breaks FROM {profile}) USING (col)"
+
+
 CTES = f"""
 eav AS (
   SELECT user_id AS ID, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 3.6e9 AS t, event_type AS var, CAST(value AS VARCHAR) AS val, event_id AS row_idx FROM events
@@ -129,6 +139,8 @@ var_s AS (SELECT fid, count(*) / (SELECT n FROM n) - (count(*) / (SELECT n FROM
 ever_x AS (SELECT fid, count(*) / (SELECT n FROM n) AS ever, 1 - count(*) FILTER (m = 10) / (SELECT n FROM n) AS ever_not_one FROM (SELECT fid, ID, count(*) AS m FROM all_x GROUP BY fid, ID) GROUP BY fid),
 kept_s AS (SELECT * FROM all_s WHERE fid IN (SELECT fid FROM var_s WHERE variance > 0.01 * 0.99)),
 kept_x AS (SELECT * FROM all_x WHERE fid IN (SELECT fid FROM ever_x WHERE ever > 0.01 AND ever_not_one > 0.01)),
+names_s AS ({_names("feat_s", "profile_s")}),
+names_x AS ({_names("feat_x", "profile_x")}),
 pairs_s AS ({_pairs("kept_s", "(SELECT n FROM n)")}),
 pairs_x AS ({_pairs("kept_x", "(SELECT 10 * n FROM n)")}),
 first_s AS (SELECT i, min(j) AS j, arg_min(r, j) AS r FROM pairs_s WHERE abs(abs(r) - 1) <= 1.001e-5 GROUP BY i),
@@ -359,6 +371,20 @@ def summary_stats_many(spark, d):
     return table.select("ID", "bin", "var", *(F.round(c, 4 if s in ("skew", "slope") else 6).alias(f"st_{s}") for c, s in shown))
 
 
+@query("SELECT ID, bin, var, round(CASE WHEN mask THEN m ELSE value END, 6) AS mean FROM filled LEFT JOIN (SELECT ID, bin, var, avg(num) AS m FROM binned WHERE num IS NOT NULL GROUP BY ID, bin, var) USING (ID, bin, var)")
+def mean_statistic(spark, d):
+    table = _filled(spark, d, replace(SETTINGS, stats=("mean",)))
+    return table.select("ID", "bin", "var", F.round("s_0", _DIGITS).alias("mean"))
+
+
+@query("SELECT col, (SELECT 10 * n FROM n) - count(*) AS missing, count(*) AS present FROM cells_x GROUP BY col")
+def missing_entries(spark, d):
+    """For each column of the time series the rows without a value."""
+    _, series, types, people, n = _parts(spark, d)
+    cells, _ = temporal.series(series, types, people, n, SETTINGS)
+    return temporal.missing_entries(cells.where(F.col("grp") != temporal.MASK), n * SETTINGS.L)
+
+
 @query("SELECT var, count(*) FILTER (NOT mask AND delta > 0) AS imputed, count(*) FILTER (NOT mask AND delta = 0) AS not_imputed FROM filled GROUP BY var")
 def imputed_counts(spark, d):
     return temporal.imputation_counts(_filled(spark, d))
@@ -450,12 +476,91 @@ def correlation_filter(spark, d):
     return postfilter.correlated(*_kept_s(spark, d)).select("dropped_id", "kept_id")
 
 
-@query("SELECT k.col AS kept_col, k.text AS kept_text, f.col AS alias_col, f.text AS alias_text, r < 0 AS opposite FROM first_s JOIN feat_s f ON f.fid = i JOIN feat_s k ON k.fid = j")
+@query(f"SELECT 'S' AS matrix, fid AS feature_id, name FROM names_s UNION ALL SELECT 'X', fid, name FROM names_x")
+def feature_names(spark, d):
+    """The dictionaries of features in their order, with intervals spelled out."""
+    both = [_run(spark, d, which, postfilter=False).features.select(F.lit(which).alias("matrix"), "feature_id", "name") for which in "SX"]
+    return both[0].unionByName(both[1])
+
+
+_ALIAS = "CASE WHEN r < 0 THEN '~{' || a.name || '}' ELSE a.name END AS alias"
+
+
+@query(f"SELECT k.name AS kept, {_ALIAS} FROM first_s JOIN names_s a ON a.fid = i JOIN names_s k ON k.fid = j")
 def feature_aliases(spark, d):
-    m = _run(spark, d, "S")
-    a = m.aliases.join(m.all_features.select(F.col("feature_id").alias("kept_id"), F.col("col").alias("kept_col"), F.col("text").alias("kept_text")), "kept_id")
-    a = a.join(m.all_features.select(F.col("feature_id").alias("dropped_id"), F.col("col").alias("alias_col"), F.col("text").alias("alias_text")), "dropped_id")
-    return a.select("kept_col", "kept_text", "alias_col", "alias_text", F.startswith("alias", F.lit("~")).alias("opposite"))
+    return _run(spark, d, "S").aliases.select("kept", "alias")
+
+
+@query(f"SELECT k.name AS kept, {_ALIAS} FROM first_x JOIN names_x a ON a.fid = i JOIN names_x k ON k.fid = j")
+def feature_aliases_X(spark, d):
+    return _run(spark, d, "X").aliases.select("kept", "alias")
+
+
+@query("SELECT i, j, round(r, 4) AS r FROM pairs_x WHERE abs(abs(r) - 1) <= 1.001e-5")
+def correlation_pairs_X(spark, d):
+    m = _run(spark, d, "X", postfilter=False)
+    v = postfilter.rarely_changing(m.features, m.cells, m.rows // SETTINGS.L, SETTINGS.L, SETTINGS.theta_2).where("kept").select("feature_id")
+    rows = row_labels(numbered(population(spark, d)), SETTINGS).select("row_id")
+    pairs = postfilter.perfect_pairs(m.features.join(v, "feature_id", "left_semi"), m.cells.join(v, "feature_id", "left_semi"), rows, m.rows)
+    return pairs.withColumn("r", F.round("r", 4))
+
+
+@query("SELECT i, j, round(r, 4) AS r FROM pairs_s")
+def correlation_matrix(spark, d):
+    """All pairs of features of S that vary enough."""
+    features, cells, _, n = _kept_s(spark, d)
+    return postfilter.correlations(features, cells, n).withColumn("r", F.round("r", 4))
+
+
+def _written(spark, d, **changes) -> str:
+    """A folder with everything that a run writes."""
+    settings = replace(SETTINGS, **changes)
+    folder = new_folder(spark, "features")
+    write(FeaturePipeline(settings).run(events(spark, d), population(spark, d)), settings, folder)
+    return folder
+
+
+def _reread(spark, folder: str, name: str, *keys: str) -> DataFrame:
+    """Cells with the names that stand beside them."""
+    names = json.loads(read_text(spark, f"{folder}/{name}.feature_names.json"))
+    listed = spark.createDataFrame(list(enumerate(names)), "feature_id long, name string")
+    return spark.read.parquet(f"{folder}/{name}.parquet").join(listed, "feature_id").select(*keys, "name", "value")
+
+
+@query("SELECT ID, name, 1.0::DOUBLE AS value FROM kept_s JOIN names_s USING (fid) WHERE fid NOT IN (SELECT i FROM first_s)")
+def written_matrix_S(spark, d):
+    folder = _written(spark, d)
+    ids = spark.read.csv(f"{folder}/S.ID.csv", header=True, schema="id_idx long, ID long")
+    return _reread(spark, folder, "S", "row_id", "value").drop("value").join(ids, F.col("row_id") == F.col("id_idx")).select("ID", "name", F.lit(1.0).alias("value"))
+
+
+@query("SELECT ID, '[' || bin * 72 || '.0, ' || (bin + 1) * 72 || '.0)' AS t_range, name, 1.0::DOUBLE AS value FROM all_x JOIN names_x USING (fid)")
+def written_tensor_X(spark, d):
+    folder = _written(spark, d, postfilter=False)
+    rows = spark.read.csv(f"{folder}/X.ID,t_range.csv", header=True, schema="row_id long, ID long, bin int, t_range string")
+    return _reread(spark, folder, "X_all", "row_id", "value").drop("value").join(rows, "row_id").select("ID", "t_range", "name", F.lit(1.0).alias("value"))
+
+
+@query("SELECT variable_name, value_type FROM (SELECT var AS variable_name, value_type FROM types) ")
+def written_value_types(spark, d):
+    return spark.read.csv(f"{_written(spark, d, postfilter=False)}/value_types.csv", header=True)
+
+
+@query(f"SELECT {_SHOWN} FROM eav")
+def csv_events(spark, d):
+    """All events, written as CSV and read as a source."""
+    folder = f"{new_folder(spark, 'events')}.csv"
+    events(spark, d).select("ID", "t", F.col("var").alias("variable_name"), F.col("val").alias("variable_value")).write.csv(folder, header=True)
+    rows = read_events(spark, folder)
+    return _shown(with_common_ids(rows, population(spark, d))[0])
+
+
+@query("SELECT ID FROM pop")
+def csv_population(spark, d):
+    folder = f"{new_folder(spark, 'population')}.csv"
+    people = population(spark, d)
+    people.unionByName(people).write.csv(folder, header=True)
+    return read_population(spark, folder).select(F.col("ID").cast("bigint").alias("ID"))
 
 
 @query("SELECT ID, col, kind, level, text, 1.0 AS value FROM kept_s JOIN feat_s USING (fid) WHERE fid NOT IN (SELECT i FROM first_s)")

@@ -132,6 +132,51 @@ def test_hierarchy(spark):
         hierarchy.expand(events, {"h": "hierarchical_ICD"}, ":", (0,))
 
 
+def test_codes_of_version_10(spark):
+    paths = lambda rows: spark.createDataFrame(rows, "code string, path array<string>")
+    nine, ten = paths([("001", ["t9", "00", "001"]), ("002", ["t9", "00", "002"]), ("003", ["t9", "003"])]), paths([("A01", ["tA", "A01"]), ("B", ["tB", "B"])])
+    moves = spark.createDataFrame([("00", "B")], "code9 string, code10 string")
+    events = events_of(spark, [(k, None, "d", c) for k, c in enumerate(("A01", "001", "003"))])
+    got = hierarchy.expand(events, {"d": "hierarchical_ICD10"}, ":", (0, 5), {"paths9": nine, "paths10": ten, "code_map": moves})
+    # its own path, that of the parent's converted code, and the old version's
+    assert sorted((r.ID, r.val) for r in got.collect()) == [(0, "A01"), (0, "tA"), (1, "B"), (1, "tB"), (2, "003"), (2, "t9")]
+    alone = hierarchy.expand(events.where("ID = 0"), {"d": "hierarchical_ICD10"}, ":", (1,), {"paths10": ten})
+    assert [r.val for r in alone.collect()] == ["A01"]
+
+
+def test_large_dictionaries_are_salted(spark, small, monkeypatch):
+    from tempofeat.operators import lookup as module
+
+    result, _ = run(small)
+    want = sorted(map(str, result.X.cells.collect())), sorted(map(str, result.S.features.collect()))
+    monkeypatch.setattr(module, "MOST", 0)
+    large, _ = run(small)
+    assert (sorted(map(str, large.X.cells.collect())), sorted(map(str, large.S.features.collect()))) == want
+
+
+def test_ids_and_sources(spark, tmp_path):
+    from tempofeat.sources.readers import read_events, read_population, with_common_ids
+
+    (tmp_path / "data.csv").write_text("ID,t,variable_name,variable_value\n1,0.5,HR,7\n02,0.5,HR,8\n")
+    (tmp_path / "pop.csv").write_text("ID\n1\n2\n")
+    (tmp_path / "mixed.csv").write_text("ID\n1\nA3\n")
+    events = read_events(spark, str(tmp_path / "data.csv"))
+    both = with_common_ids(events, read_population(spark, str(tmp_path / "pop.csv")))
+    assert [dict(df.dtypes)["ID"] for df in both] == ["bigint", "bigint"] and sorted(r.ID for r in both[0].collect()) == [1, 2]
+    both = with_common_ids(events, read_population(spark, str(tmp_path / "mixed.csv")))
+    assert [dict(df.dtypes)["ID"] for df in both] == ["string", "string"]
+    settings = Settings(T=4, dt=1, prefilter=False, postfilter=False)
+    assert [r.ID for r in FeaturePipeline(settings).run(events, read_population(spark, str(tmp_path / "mixed.csv"))).population.orderBy("id_idx").collect()] == ["1", "A3"]
+    import pandas as pd
+
+    pd.DataFrame({"ID": [1, 1], "t": [0.5, None], "variable_name": ["HR", "SEX"], "variable_value": [7, "M"]}).to_pickle(tmp_path / "data.p")
+    assert sorted(r.val for r in read_events(spark, str(tmp_path / "data.p")).collect()) == ["7", "M"]
+    with pytest.raises(ValueError, match="cannot read"):
+        read_events(spark, "data.xlsx")
+    with pytest.raises(ValueError, match="cannot read"):
+        read_population(spark, "pop.xlsx")
+
+
 def test_filled_properties(spark):
     rng = random.Random(5)
     rows = [(i, rng.uniform(0, 8), "v", str(rng.randint(0, 9))) for i in range(20) for _ in range(rng.randint(0, 9))]
