@@ -15,8 +15,8 @@ from tempofeat.functions.values import NUMERIC, time_bin, to_double
 from tempofeat.operators import discretize, encode, hierarchy, invariant, postfilter, prefilter, temporal, value_types
 from tempofeat.operators.lookup import lookup
 from tempofeat.operators.numbering import numbered
-from tempofeat.plans.pipeline import FeaturePipeline, row_labels, write
-from tempofeat.plans.views import SETTINGS, events, population
+from tempofeat.plans.pipeline import FeaturePipeline, dense, row_labels, write
+from tempofeat.plans.views import SETTINGS, events, population, table
 from tempofeat.sources.readers import read_events, read_population, with_common_ids
 from tempofeat.storage import new_folder, read_text
 
@@ -87,11 +87,12 @@ eav AS (
   UNION ALL SELECT user_id, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 3.6e9, 'LAST_TYPE', event_type, event_id FROM events
   UNION ALL SELECT user_id, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 3.6e9, 'READING', CASE WHEN value < 5 THEN '<5' ELSE CAST(value AS VARCHAR) END, event_id FROM events
   UNION ALL SELECT o_custkey, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE), 'STATUS', o_orderstatus, o_orderkey FROM orders
+  UNION ALL SELECT o_custkey, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE), 'OUTCOME', lower(o_orderstatus), o_orderkey FROM orders
   UNION ALL SELECT c_custkey, NULL, 'ACCTBAL', CAST(c_acctbal AS VARCHAR), c_custkey FROM customer
   UNION ALL SELECT c_custkey, NULL, 'SEGMENT', c_mktsegment, c_custkey FROM customer
   UNION ALL SELECT c_custkey, NULL, 'NATION', CAST(c_nationkey AS VARCHAR), c_custkey FROM customer
   UNION ALL SELECT c_custkey, NULL, 'REGION', r_name || ':' || n_name || ':' || c_mktsegment, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-pop AS (SELECT c_custkey AS ID FROM customer WHERE c_custkey <= (SELECT max(user_id) FROM events) + 10),
+pop AS (SELECT c_custkey AS ID FROM customer),
 n AS (SELECT count(*) AS n FROM pop),
 idx AS (SELECT ID, row_number() OVER (ORDER BY ID) - 1 AS id_idx FROM pop),
 inpop AS (SELECT * FROM eav WHERE ID IN (SELECT ID FROM pop)),
@@ -110,7 +111,7 @@ mapped AS (
     SELECT f.*, count(*) OVER (PARTITION BY ID, t, var) > 1 AND NOT contains(lower(value_type), 'numeric') AND NOT contains(lower(value_type), 'none') AS d FROM forced f JOIN types USING (var))),
 inv AS (SELECT * FROM mapped WHERE var IN (SELECT var FROM mapped WHERE t IS NULL)),
 ser AS (SELECT * FROM mapped WHERE var NOT IN (SELECT var FROM mapped WHERE t IS NULL)),
-often AS (SELECT var FROM ser JOIN types USING (var) WHERE value_type = 'Numeric' GROUP BY var HAVING count(*) / (SELECT n FROM n) >= 10),
+often AS (SELECT var FROM ser JOIN types USING (var) WHERE value_type = 'Numeric' GROUP BY var HAVING count(*) / (SELECT n FROM n) >= 1),
 cells_s AS (SELECT *, {_NUM} AS num, 0 AS grp, 0 AS ord FROM (SELECT ID, var || '_value' AS col, var, arg_max(val, row_idx) AS val FROM inv WHERE val IS NOT NULL GROUP BY ID, var)),
 binned AS (SELECT *, {_NUM} AS num FROM (SELECT *, CASE WHEN t >= (b + 1) * 72.0::DOUBLE THEN b + 1 WHEN t < b * 72.0::DOUBLE THEN b - 1 ELSE b END AS bin FROM (SELECT *, CAST(floor(t / 72.0::DOUBLE) AS INTEGER) AS b FROM ser)) WHERE bin BETWEEN 0 AND 9 AND val IS NOT NULL),
 latest AS (SELECT *, {_NUM} AS num FROM (SELECT ID, bin, var, var || '_value' AS col, arg_max(val, row(t, row_idx)) AS val FROM binned GROUP BY ID, bin, var)),
@@ -200,9 +201,11 @@ def _shown(df: DataFrame) -> DataFrame:
 # --- prefilter ---
 
 
-@query(f"SELECT {_SHOWN} FROM inpop")
+@query(f"SELECT {_SHOWN} FROM eav WHERE ID IN (SELECT user_id FROM events)")
 def population_semi_join(spark, d):
-    return _shown(prefilter.in_population(events(spark, d), population(spark, d)))
+    """All rows of the customers that have events."""
+    people = table(spark, d, "events").select(F.col("user_id").alias("ID"))
+    return _shown(prefilter.in_population(events(spark, d), people))
 
 
 @query(f"SELECT {_SHOWN} FROM eav WHERE t IS NULL OR (t >= 0 AND t < 720)")
@@ -289,15 +292,15 @@ def invariant_last_value(spark, d):
     return rounded(invariant.last_values(fixed, people), "num").drop("var")
 
 
-@query("SELECT p.ID, round(coalesce(num, avg(num) OVER ()), 6) AS value FROM pop p LEFT JOIN (SELECT * FROM cells_s WHERE col = 'ACCTBAL_value' AND ID % 7 > 0) c ON p.ID = c.ID")
+@query("SELECT p.ID, round(coalesce(num, avg(num) OVER ()), 6) AS value FROM pop p LEFT JOIN (SELECT * FROM cells_s WHERE col = 'ACCTBAL_value' AND num >= 0) c ON p.ID = c.ID")
 def invariant_impute_mean(spark, d):
-    """ACCTBAL with every seventh customer unknown, who gets the mean."""
-    from tempofeat.plans.pipeline import dense
-
-    rows = events(spark, d).where("var = 'ACCTBAL' and ID % 7 > 0")
-    result = FeaturePipeline(replace(SETTINGS, discretize=False, postfilter=False)).run(rows, population(spark, d))
-    ids = result.population.select(F.col("id_idx").alias("row_id"), "ID")
-    return dense(result.S, ids).select("ID", F.round("ACCTBAL_value", _DIGITS).alias("value"))
+    """ACCTBAL with debts as unknown, whose customers get the mean of the others."""
+    unknown = (F.col("var") == "ACCTBAL") & F.startswith("val", F.lit("-"))
+    rows = events(spark, d).withColumn("val", F.when(~unknown, F.col("val")))
+    pipeline = FeaturePipeline(replace(SETTINGS, discretize=False, postfilter=False))
+    rows, _, people, n = pipeline.prepare(rows, population(spark, d))
+    matrix = pipeline._invariant(value_types.split(rows)[0], people, n)
+    return dense(matrix, people.select(F.col("id_idx").alias("row_id"), "ID")).select("ID", F.round("ACCTBAL_value", _DIGITS).alias("value"))
 
 
 # --- time series ---
@@ -309,11 +312,11 @@ def frequent_variables(spark, d):
     return temporal.frequent_numeric(series, types, people, n, SETTINGS)
 
 
-@query("SELECT event_id, CAST(CASE WHEN t >= (b + 1) * 0.1::DOUBLE THEN b + 1 WHEN t < b * 0.1::DOUBLE THEN b - 1 ELSE b END AS INTEGER) AS bin FROM (SELECT event_id, t, floor(t / 0.1::DOUBLE) AS b FROM (SELECT event_id, round(value / 100, 1) AS t FROM events)) WHERE t < 4.9")
+@query("SELECT event_id, CAST(CASE WHEN t >= (b + 1) * 0.1::DOUBLE THEN b + 1 WHEN t < b * 0.1::DOUBLE THEN b - 1 ELSE b END AS INTEGER) AS bin FROM (SELECT event_id, t, floor(t / 0.1::DOUBLE) AS b FROM (SELECT event_id, round(value / 100, 1) AS t FROM events))")
 def time_bins(spark, d):
     """Times on the edges of bins of 0.1, where a plain quotient errs."""
     seen = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(F.col("value") / 100, 1).alias("t"))
-    return seen.where("t < 4.9").select("event_id", time_bin(F.col("t"), 0.1, 60).alias("bin"))
+    return seen.select("event_id", time_bin(F.col("t"), 0.1, 60).alias("bin"))
 
 
 @query(f"SELECT ID, bin, col, val, {_R('num')} AS num FROM latest WHERE var NOT IN (SELECT var FROM often)")
@@ -426,11 +429,11 @@ def raw_onehot(spark, d):
     return _named(_run(spark, d, "X", postfilter=False), False, "ID", "bin").where("kind = 2")
 
 
-@query(f", given AS (SELECT col, CASE WHEN numbers > 2 THEN {GIVEN_EDGES} END AS edges FROM profile_x WHERE contains(col, '_value')) SELECT ID, bin, col, kind, level, text, 1.0 AS value FROM ({_coded('cells_x', 'given', 'ID, bin')})")
+@query(f", given AS (SELECT col, CASE WHEN numbers > 2 THEN {GIVEN_EDGES} END AS edges FROM profile_x) SELECT ID, bin, col, kind, level, text, 1.0 AS value FROM ({_coded('cells_x', 'given', 'ID, bin')})")
 def predetermined_bins(spark, d):
     _, series, types, people, n = _parts(spark, d)
     cells, _ = temporal.series(series, types, people, n, SETTINGS)
-    cells = cells.where("contains(col, '_value')")
+    cells = cells.where(F.col("grp") != temporal.MASK)
     names = [r["col"] for r in cells.select("col").distinct().collect()]
     profile = discretize.predetermined(discretize.column_profile(cells), dict.fromkeys(names, GIVEN_EDGES))
     return encode.encode_discrete(cells, profile, False).select("ID", "bin", "col", "kind", "level", "text", "value")
