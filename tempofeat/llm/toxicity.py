@@ -30,6 +30,8 @@ from tempofeat.llm.shared import small_batches
 
 SPAN, DECAY = 5, 0.8
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+_WEIGHTS = np.array([DECAY ** (b + 1) for _, b in _OFFSETS])
+_LOW = (len(_OFFSETS) - 1).bit_length()
 _MARKS = re.compile(r"[\W_]+")
 WORST = 4  # strings of a text that decide
 LONGEST = 64  # longer strings are compared in overlapping parts
@@ -68,24 +70,29 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     size = np.array([len(w) for w in framed], dtype=np.int64)
     word = np.repeat(np.arange(len(framed)), size)
-    keys, owners, weights = [], [], []
-    for a, b in _OFFSETS:
-        n = len(data) - b
-        if n <= 0:
-            continue
+    alphabet, place = np.unique(data, return_inverse=True)
+    bits = max(1, (len(alphabet) - 1).bit_length())
+    if 3 * bits + (len(framed) - 1).bit_length() + _LOW > 63:  # a very large alphabet: fewer words at a time
+        half = len(words) // 2
+        if half:
+            one, two = subsequences(words[:half]), subsequences(words[half:])
+            return np.concatenate([one[0], two[0] + half]), np.concatenate([one[1], two[1]]), np.concatenate([one[2], two[2]])
+    # owner, three characters and the gaps in one number: sorted by value, no order to carry along
+    codes = [np.zeros(0, dtype=np.int64)]
+    for gaps, (a, b) in enumerate(_OFFSETS):
+        n = max(0, len(data) - b)
         own = np.flatnonzero(word[:n] == word[b:])
-        keys.append((data[own] << 42) | (data[own + a] << 21) | data[own + b])
-        owners.append(word[own])
-        weights.append(np.full(len(own), DECAY ** (b + 1)))
-    if not keys:
+        code = (((word[own] << bits | place[own]) << bits | place[own + a]) << bits) | place[own + b]
+        codes.append(code << _LOW | gaps)
+    code = np.sort(np.concatenate(codes))
+    if not len(code):
         return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)
-    key, owner, weight = np.concatenate(keys), np.concatenate(owners), np.concatenate(weights)
-    order = np.lexsort((key, owner))
-    key, owner, weight = key[order], owner[order], weight[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(new)
-    return owner[first], key[first], np.add.reduceat(weight, first)
+    same = code >> _LOW
+    first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+    weight = np.add.reduceat(_WEIGHTS[code & (1 << _LOW) - 1], first)
+    same, mask = same[first], (1 << bits) - 1
+    x, y, z = (alphabet[same >> k * bits & mask] for k in (2, 1, 0))
+    return same >> 3 * bits, x << 42 | y << 21 | z, weight
 
 
 def kernel(words: list[str], landmarks: list[str], part: int = 2000) -> np.ndarray:

@@ -475,6 +475,24 @@ def test_spelled_out_letters_in_long_prose(spark):
     assert "zyx" * 40 not in toxicity.strings("prose " + "z y x " * 40) and "zyxzyxzyxz" in toxicity.strings("prose " + "z y x " * 40)
 
 
+def test_subsequences_by_hand():
+    rng = random.Random(5)
+    wide = ["".join(chr(rng.randrange(0x20000, 0x2FFFF)) for _ in range(9)) for _ in range(9000)]
+    for words in ([], [""], ["", "a", "aa"], ["abcab", "ba!b.a", "", "abcab", "ß中_ab"], wide):
+        found = {}
+        for i, w in enumerate(words):
+            framed = "\x02\x02" + re.sub(r"[\W_]+", "", w) + "\x03"
+            for k in range(len(framed)):
+                for b in range(2, toxicity.SPAN):
+                    for a in range(1, b):
+                        if k + b < len(framed):
+                            key = ord(framed[k]) << 42 | ord(framed[k + a]) << 21 | ord(framed[k + b])
+                            found[i, key] = found.get((i, key), 0.0) + toxicity.DECAY ** (b + 1)
+        owner, key, weight = (x.tolist() for x in toxicity.subsequences(words))
+        assert list(zip(owner, key, strict=True)) == sorted(found)
+        assert weight == pytest.approx([found[k] for k in sorted(found)])
+
+
 def test_toxicity_behind_the_longest_string():
     rng = random.Random(5)
 
