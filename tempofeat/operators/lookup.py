@@ -41,13 +41,18 @@ def _nullable(df: DataFrame):
     return StructType([StructField(f.name, f.dataType, True) for f in df.schema])
 
 
-def look_up(rows: DataFrame, of: Lookup, on: list[str], how: str = "inner") -> DataFrame:
-    """rows joined with a dictionary on columns of the same names."""
+def look_up(rows: DataFrame, of: Lookup, on: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """rows joined with a dictionary on columns of the same names.
+
+    salts: 1 where no key has very many rows. A larger dictionary is never broadcast:
+    Spark would judge its copies by the compressed size of the table that they come from."""
     if of.small:
         return rows.join(F.broadcast(of.frame), on, how)
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int").alias("_salt")
-    copies = of.frame.select("*", F.explode(F.lit(list(range(SALTS)))).alias("_salt"))
-    return rows.select("*", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    if salts == 1:
+        return rows.join(of.frame.hint("merge"), on, how)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int").alias("_salt")
+    copies = of.frame.select("*", F.explode(F.lit(list(range(salts)))).alias("_salt"))
+    return rows.select("*", salt).join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def in_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tempofeat.functions.values import is_numeric
 from tempofeat.operators.lookup import Lookup, look_up, lookup
+from tempofeat.storage import stored
 
 
 def detect(events: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
@@ -43,19 +44,21 @@ def premap_duplicates(events: DataFrame, types: Lookup | DataFrame) -> DataFrame
     """Rows of text variables that share ID, t and variable become variables of their
     own, {var}:{value} with value 1; the variable's other rows stay.
 
-    The duplicates are looked up, so that an entity with very many rows is no single task."""
+    The duplicates are looked up, by ID, time and variable: there are as many as
+    entities, or more, and few rows of each. Only rows of text variables move."""
     types = types if isinstance(types, Lookup) else lookup(types)
     text = types.frame.where(~F.lower("value_type").contains("numeric") & ~F.lower("value_type").contains("none")).select("var", F.lit(True).alias("is_text"))
-    rows = look_up(events, Lookup(text, types.small), ["var"], "left")
+    text = Lookup(text, types.small)
     # a missing time is a time of its own
-    rows = rows.withColumns({"t_null": F.col("t").isNull(), "t_key": F.coalesce("t", F.lit(0.0))})
+    rows = look_up(events, text, ["var"]).withColumns({"t_null": F.col("t").isNull(), "t_key": F.coalesce("t", F.lit(0.0))})
     on = ["ID", "t_null", "t_key", "var"]
-    twice = rows.where("is_text").groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").select(*on, F.lit(True).alias("twice"))
-    rows = look_up(rows, lookup(twice), on, "left")
+    twice = rows.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").select(*on, F.lit(True).alias("twice"))
+    rows = look_up(rows, lookup(stored(twice)), on, "left", salts=1)
     dup = F.col("twice").isNotNull()
     named = F.concat(F.col("var"), F.lit(":"), F.coalesce("val", F.lit("nan")))
     out = rows.withColumns({"val": F.when(dup, F.lit("1")).otherwise(F.col("val")), "var": F.when(dup, named).otherwise(F.col("var"))})
-    return out.select(*events.columns)
+    others = look_up(events, text, ["var"], "left_anti")
+    return out.select(*events.columns).unionByName(others.select(*events.columns))
 
 
 def timeless(events: DataFrame) -> DataFrame:
