@@ -32,14 +32,14 @@ def to_double(c: Column) -> Column:
     return F.when(is_numeric(c) & ~F.isnan(number), number)
 
 
-def time_bin(t: Column, dt: float, bins: int) -> Column:
-    """k with k*dt <= t < (k+1)*dt, or NULL outside of the bins.
+def time_bin(t: Column, dt: float, bins: int | None = None) -> Column:
+    """k with k*dt <= t < (k+1)*dt, or NULL outside of the bins; every k if their number is not given.
 
     The quotient is corrected at the edges, where division may round across."""
     k = F.floor(t / F.lit(float(dt)))
     step = F.lit(float(dt))
     k = F.when(t >= (k + 1) * step, k + 1).when(t < k * step, k - 1).otherwise(k)
-    return F.when((k >= 0) & (k < bins), k).cast("int")
+    return (k if bins is None else F.when((k >= 0) & (k < bins), k)).cast("int")
 
 
 def bin_edges(dt: float, bins: int) -> list[float]:

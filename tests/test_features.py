@@ -14,6 +14,7 @@ from tempofeat.operators.discretize import column_profile, edges_by_column, pred
 from tempofeat.operators.lookup import lookup
 from tempofeat.operators.numbering import numbered
 from tempofeat.plans.pipeline import FeaturePipeline, dense, row_labels
+from tempofeat.plans.queries import QUERIES, SQL
 
 SCHEMA = "ID long, t double, var string, val string, row_idx long"
 HR = {1: [(0.1, 70), (0.9, 71), (1.5, 72), (1.9, 73), (2.9, 74), (3.5, 75)], 2: [(0.1, 60), (0.8, 60), (0.9, 61), (2.1, 73), (2.9, 78), (3.5, 75)], 3: [(1.7, 90)], 4: [(0.7, 80), (2.5, 62), (3.9, 73)]}
@@ -291,3 +292,13 @@ def test_vectors(small):
     result, _ = run(small, discretize=False)
     got = {r.row_id: r.features for r in vectors(result.S, result.population.select(F.col("id_idx").alias("row_id"))).collect()}
     assert got[3][0] == 41.0 and got[0][0] == 50.0 and len(got) == 4
+
+
+def test_time_bins_of_all_values(spark, tmp_path):
+    values = [-0.2, -20.0, 0.0, 599.99, 600.0, 1730.0]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = {r.event_id: r.bin for r in QUERIES["time_bins"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(SQL["time_bins"]).fetchall()) == {0: 0, 1: -2, 2: 0, 3: 60, 4: 60, 5: 173}
