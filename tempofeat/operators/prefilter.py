@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tempofeat.config import Settings
 from tempofeat.functions.values import is_numeric
-from tempofeat.operators.lookup import Lookup, look_up, lookup
+from tempofeat.operators.lookup import Lookup, look_up, lookup, with_ids
 
 
 def in_population(events: DataFrame, population: DataFrame) -> DataFrame:
-    """Rows whose ID is in the population. Spark broadcasts a small population itself."""
-    return events.join(population.select("ID"), "ID", "left_semi")
+    """Rows whose ID is in the population."""
+    return with_ids(events, population.select("ID"))
 
 
 def in_time(events: DataFrame, until: float) -> DataFrame:

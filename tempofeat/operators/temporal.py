@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tempofeat.config import Settings
 from tempofeat.functions.statistics import statistic
 from tempofeat.functions.values import time_bin, to_double
-from tempofeat.operators.lookup import Lookup, look_up, lookup
+from tempofeat.operators.lookup import Lookup, look_up, lookup, with_ids
 
 #: Places of the groups of columns.
 PLAIN, MASK, DELTA, VALUE, STATS = range(5)
@@ -21,7 +21,7 @@ PLAIN, MASK, DELTA, VALUE, STATS = range(5)
 
 def frequent_numeric(events: DataFrame, types: Lookup | DataFrame, population: DataFrame, entities: int, settings: Settings) -> DataFrame:
     """Numeric variables with theta_freq recordings per entity and bin on average."""
-    counts = events.join(population.select("ID"), "ID", "left_semi").groupBy("var").agg(F.count("*").alias("n"))
+    counts = with_ids(events, population.select("ID")).groupBy("var").agg(F.count("*").alias("n"))
     often = counts.where(F.col("n") / F.lit(entities) >= F.lit(float(settings.theta_freq * settings.L)))
     types = types.frame if isinstance(types, Lookup) else types
     return often.join(types.where(F.col("value_type") == "Numeric").select("var"), "var", "left_semi").select("var")
@@ -29,7 +29,7 @@ def frequent_numeric(events: DataFrame, types: Lookup | DataFrame, population: D
 
 def binned(events: DataFrame, population: DataFrame, settings: Settings) -> DataFrame:
     """Events of the population in their bins; those outside of all bins have no part."""
-    rows = events.join(population.select("ID"), "ID", "left_semi").withColumn("bin", time_bin(F.col("t"), settings.dt, settings.L))
+    rows = with_ids(events, population.select("ID")).withColumn("bin", time_bin(F.col("t"), settings.dt, settings.L))
     return rows.where("bin is not null and val is not null")
 
 

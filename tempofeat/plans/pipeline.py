@@ -12,7 +12,7 @@ from tempofeat.config import Settings
 from tempofeat.functions.values import time_label
 from tempofeat.operators import encode, hierarchy, invariant, postfilter, prefilter, temporal, value_types
 from tempofeat.operators.discretize import edges_by_column
-from tempofeat.operators.lookup import Lookup, look_up, lookup
+from tempofeat.operators.lookup import Lookup, look_up, lookup, with_ids
 from tempofeat.operators.numbering import numbered
 from tempofeat.sources.readers import with_common_ids
 from tempofeat.sources.writers import write_csv, write_features
@@ -87,7 +87,7 @@ class FeaturePipeline:
         s = self.settings
         cells = invariant.last_values(events, people)
         features, coded, profile = encode.to_features(stored(cells), ["ID"], None, s, s.S_bins)
-        coded = coded.join(people, "ID").select(F.col("id_idx").alias("row_id"), "ID", "feature_id", "value")
+        coded = with_ids(coded, people, "inner").select(F.col("id_idx").alias("row_id"), "ID", "feature_id", "value")
         verdict = lambda features, cells: postfilter.near_constant(features, cells, n, s.theta_2)
         return self._matrix(features, coded, profile, verdict, people.select(F.col("id_idx").alias("row_id")), n)
 
@@ -98,7 +98,7 @@ class FeaturePipeline:
         masks = cells.where(F.col("grp") == temporal.MASK)
         others = cells.where(F.col("grp") != temporal.MASK)
         features, coded, profile = encode.to_features(others, ["ID", "bin"], masks, s, s.X_bins)
-        coded = coded.join(people, "ID").select((F.col("id_idx") * s.L + F.col("bin")).alias("row_id"), "ID", "bin", "feature_id", "value")
+        coded = with_ids(coded, people, "inner").select((F.col("id_idx") * s.L + F.col("bin")).alias("row_id"), "ID", "bin", "feature_id", "value")
         verdict = lambda features, cells: postfilter.rarely_changing(features, cells, n, s.L, s.theta_2)
         rows = people.select(F.explode(F.sequence(F.col("id_idx") * s.L, F.col("id_idx") * s.L + s.L - 1)).alias("row_id"))
         return self._matrix(features, coded, profile, verdict, rows, n * s.L), filled

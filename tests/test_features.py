@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tempofeat.config import Settings, load_settings
 from tempofeat.functions.values import NUMERIC, interval_labels, time_bin, to_double
-from tempofeat.operators import hierarchy, postfilter, prefilter, temporal, value_types
+from tempofeat.operators import hierarchy, invariant, postfilter, prefilter, temporal, value_types
 from tempofeat.operators.discretize import column_profile, edges_by_column, predetermined
 from tempofeat.operators.lookup import lookup
 from tempofeat.operators.numbering import numbered
 from tempofeat.plans.pipeline import FeaturePipeline, dense, row_labels
 from tempofeat.plans.queries import QUERIES, SQL
+from tempofeat.storage import stored
 
 SCHEMA = "ID long, t double, var string, val string, row_idx long"
 HR = {1: [(0.1, 70), (0.9, 71), (1.5, 72), (1.9, 73), (2.9, 74), (3.5, 75)], 2: [(0.1, 60), (0.8, 60), (0.9, 61), (2.1, 73), (2.9, 78), (3.5, 75)], 3: [(1.7, 90)], 4: [(0.7, 80), (2.5, 62), (3.9, 73)]}
@@ -302,3 +303,10 @@ def test_time_bins_of_all_values(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     got = {r.event_id: r.bin for r in QUERIES["time_bins"](spark, str(tmp_path)).collect()}
     assert got == dict(con.execute(SQL["time_bins"]).fetchall()) == {0: 0, 1: -2, 2: 0, 3: 60, 4: 60, 5: 173}
+
+
+def test_a_stored_population_is_not_broadcast(spark, small):
+    """Its file is far below Spark's limit for broadcasts, its rows in memory need not be."""
+    people = stored(spark.range(30_000).select(F.col("id").alias("ID")))
+    for rows in (prefilter.in_population(small[0], people), temporal.binned(small[0], people, Settings(T=4, dt=1)), invariant.last_values(small[0], people)):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
