@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tempofeat.llm import bpe, decontamination, licences, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_filter
+from tempofeat.llm import bpe, components, decontamination, licences, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_filter
 from tempofeat.llm.components import connected
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -252,6 +253,39 @@ def test_components_are_whole_or_an_error(spark):
     assert connected(path.limit(0), rounds=0).count() == 0
 
 
+def test_components_by_either_way(spark):
+    rng = random.Random(7)
+    edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1400)] + [(i, i + 1) for i in range(5000, 5200)] + [(9000, k) for k in range(9001, 12_500)] + [(7, 7), (-5, 3)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(3)
+    for local in (10_000, 0):
+        assert sorted(map(tuple, connected(frame, local=local).collect())) == sorted(want.items()), local
+    shuffled = pa.RecordBatch.from_pydict({"u": [u for u, _ in edges], "v": [v for _, v in edges]})
+    few = list(components.contracted(iter([shuffled.slice(k, 50) for k in range(0, len(edges), 50)]), 400))
+    assert len(few) > 1 and sorted(map(tuple, connected(spark.createDataFrame([(a, b) for x in few for a, b in zip(*x.to_pydict().values(), strict=True)], "u long, v long")).collect())) == sorted(want.items())
+
+
+def test_components_of_a_small_graph_take_few_jobs(spark):
+    # a job leaves its plan and its tasks' metrics with the driver, and its shuffles on disk
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long").repartition(4)
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        assert {r.component for r in connected(edges).collect()} == {0}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 8
+
+
 def test_bands():
     bands, rows = ngram_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 256
