@@ -310,3 +310,12 @@ def test_a_stored_population_is_not_broadcast(spark, small):
     people = stored(spark.range(30_000).select(F.col("id").alias("ID")))
     for rows in (prefilter.in_population(small[0], people), temporal.binned(small[0], people, Settings(T=4, dt=1)), invariant.last_values(small[0], people)):
         assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_customers_are_not_broadcast(spark):
+    """Nations, a row each, are; their product with the regions looks larger to Spark than a file of customers."""
+    from tempofeat.plans.views import events
+
+    plan = events(spark, "/root/testdata/sf0.01")._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "c_nationkey" in line and "Join" in line]
+    assert joins and all("BroadcastHashJoin" in line and "BuildRight" in line for line in joins)
