@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempofeat.storage import fixed, stored
+from tempofeat.storage import fixed, release, stored
 
 MOST, SALTS = 20_000, 64
 
@@ -28,6 +28,7 @@ def lookup(df: DataFrame, most: int | None = None) -> Lookup:
     """df as a dictionary, computed once."""
     most = MOST if most is None else most
     rows = df.limit(most + 1).toArrow()
+    release(df.sparkSession)
     if rows.num_rows > most:
         return Lookup(stored(df), False)
     names = df.columns

@@ -47,7 +47,8 @@ def premap_duplicates(events: DataFrame, types: Lookup | DataFrame) -> DataFrame
     The duplicates are looked up, by ID, time and variable: there are as many as
     entities, or more, and few rows of each. Only rows of text variables move."""
     types = types if isinstance(types, Lookup) else lookup(types)
-    text = types.frame.where(~F.lower("value_type").contains("numeric") & ~F.lower("value_type").contains("none")).select("var", F.lit(True).alias("is_text"))
+    # a small dictionary is filtered in the driver, where lower() would load the title case of all characters, 100 MB
+    text = types.frame.where(~F.col("value_type").rlike("(?i)numeric|none")).select("var", F.lit(True).alias("is_text"))
     text = Lookup(text, types.small)
     # a missing time is a time of its own
     rows = look_up(events, text, ["var"]).withColumns({"t_null": F.col("t").isNull(), "t_key": F.coalesce("t", F.lit(0.0))})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -70,4 +71,14 @@ def stored(df: DataFrame) -> DataFrame:
     """df written once as a Parquet table in the shared folder and reread: readers take the columns they need."""
     folder = new_folder(df.sparkSession, "stored")
     df.write.parquet(folder)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Frees what finished steps hold in the driver.
+
+    Spark lets go of their broadcasts and shuffles only when the driver's garbage is
+    collected, and a heap that has room is filled before that and then kept."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

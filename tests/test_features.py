@@ -319,3 +319,21 @@ def test_customers_are_not_broadcast(spark):
     plan = events(spark, "/root/testdata/sf0.01")._jdf.queryExecution().sparkPlan().toString()
     joins = [line for line in plan.splitlines() if "c_nationkey" in line and "Join" in line]
     assert joins and all("BroadcastHashJoin" in line and "BuildRight" in line for line in joins)
+
+
+def test_types_are_matched_without_lower(spark):
+    """lower() in the driver, over a small dictionary, loads the title case of all characters."""
+    rows = [(1, 0.0, "A", "x", 0), (1, 0.0, "A", "y", 1), (1, 0.0, "B", "x", 2), (1, 0.0, "B", "y", 3), (1, 0.0, "C", None, 4), (1, 0.0, "C", None, 5)]
+    types = lookup(spark.createDataFrame([("A", "Categorical"), ("B", "NUMERIC + Categorical"), ("C", "None")], "var string, value_type string"))
+    got = value_types.premap_duplicates(spark.createDataFrame(rows, SCHEMA), types)
+    assert "lower(" not in got._jdf.queryExecution().logical().toString()
+    assert {(r["var"], r.val, r.row_idx) for r in got.collect()} == {("A:x", "1", 0), ("A:y", "1", 1), *((r[2], r[3], r[4]) for r in rows[2:])}
+
+
+def test_steps_release_what_the_driver_holds(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    for step in (stored, lookup):
+        before = whole()
+        step(spark.range(3))
+        assert whole() > before
