@@ -1,7 +1,8 @@
 """Dictionaries, with a row for each variable, column or feature, and joins with them.
 
 A dictionary's size is checked when it is made: up to MOST rows it is kept as a
-local table, which every join broadcasts. A larger one is written once and
+local table, which joins broadcast, or whose few keys rows are compared with
+in place. A larger one is written once and
 joined by a shuffle, each of its rows copied over SALTS salts, so that rows
 of one very common key spread over as many tasks.
 """
@@ -12,10 +13,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType
 
 from tempofeat.storage import fixed, release, stored
 
 MOST, SALTS = 20_000, 64
+#: Up to FEW keys are compared in place: a broadcast takes some 8 MB of the driver's heap, however small the dictionary.
+FEW = 200
 
 
 @dataclass
@@ -42,13 +46,30 @@ def _nullable(df: DataFrame):
     return StructType([StructField(f.name, f.dataType, True) for f in df.schema])
 
 
+def few_keys(of: Lookup, name: str) -> list | None:
+    """A small dictionary's texts or whole numbers in a column, without null, if they are few."""
+    if not of.small or not isinstance(of.frame.schema[name].dataType, StringType | LongType | IntegerType):
+        return None
+    keys = of.frame.select(name).limit(FEW + 1).collect()
+    return [k for (k,) in keys if k is not None] if len(keys) <= FEW else None
+
+
+def _compared(rows: DataFrame, of: Lookup, name: str, how: str) -> DataFrame | None:
+    """rows with or without a dictionary's keys, as its semi or anti join; None if these are not few."""
+    if rows.schema[name].dataType != of.frame.schema[name].dataType or (keys := few_keys(of, name)) is None:
+        return None
+    known = F.col(name).isin(keys) if keys else F.lit(False)
+    return rows.where(known if how == "left_semi" else ~F.coalesce(known, F.lit(False))).select(name, *(c for c in rows.columns if c != name))
+
+
 def look_up(rows: DataFrame, of: Lookup, on: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """rows joined with a dictionary on columns of the same names.
 
     salts: 1 where no key has very many rows. A larger dictionary is never broadcast:
     Spark would judge its copies by the compressed size of the table that they come from."""
     if of.small:
-        return rows.join(F.broadcast(of.frame), on, how)
+        found = _compared(rows, of, on[0], how) if how in ("left_semi", "left_anti") and len(on) == 1 else None
+        return rows.join(F.broadcast(of.frame), on, how) if found is None else found
     if salts == 1:
         return rows.join(of.frame.hint("merge"), on, how)
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int").alias("_salt")

@@ -31,6 +31,11 @@ def _as_lookup(features: Lookup | DataFrame) -> Lookup:
 def _with_default(features: Lookup | DataFrame, cells: DataFrame) -> DataFrame:
     """Cells with the default of their feature."""
     features = _as_lookup(features)
+    defaults = {d for (d,) in features.frame.select("default_value").collect()} if features.small else ()
+    if len(defaults) == 1:  # as of all features of intervals and texts
+        default = F.lit(defaults.pop()).cast("double").alias("default_value")
+        known = look_up(cells, Lookup(features.frame.select("feature_id"), True), ["feature_id"], "left_semi")
+        return known.select("*", default)
     return look_up(cells, Lookup(features.frame.select("feature_id", "default_value"), features.small), ["feature_id"])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tempofeat.config import Settings
 from tempofeat.functions.statistics import statistic
 from tempofeat.functions.values import time_bin, to_double
-from tempofeat.operators.lookup import Lookup, look_up, lookup, with_ids
+from tempofeat.operators.lookup import Lookup, few_keys, look_up, lookup, with_ids
 
 #: Places of the groups of columns.
 PLAIN, MASK, DELTA, VALUE, STATS = range(5)
@@ -58,7 +58,11 @@ def filled(rows: DataFrame, population: DataFrame, often: Lookup, settings: Sett
     stats, bins = settings.stats, settings.L
     seen = observed(look_up(rows, often, ["var"], "left_semi"), stats)
     # a row for each entity and frequent variable: the result has L of them
-    pairs = look_up(population.select("ID", F.explode(F.lit([0])).alias("one")), Lookup(often.frame.select("var", F.lit(0).alias("one")), often.small), ["one"])
+    names = few_keys(often, "var")
+    if names is not None:
+        pairs = population.select("ID", F.explode(F.lit(names).cast("array<string>")).alias("var"))
+    else:
+        pairs = look_up(population.select("ID", F.explode(F.lit([0])).alias("one")), Lookup(often.frame.select("var", F.lit(0).alias("one")), often.small), ["one"])
     starts = pairs.select("ID", F.lit(-1).alias("bin"), "var", *(F.lit(None).cast(t).alias(c) for c, t in seen.dtypes[3:]))
     by_bin = Window.partitionBy("ID", "var").orderBy("bin")
     seen = seen.unionByName(starts).withColumn("next", F.coalesce(F.lead("bin").over(by_bin), F.lit(bins)))

@@ -33,11 +33,12 @@ def force_categorical(events: DataFrame, overrides: dict[str, str], prefix_nulls
     if not names:
         return events
     own = types.frame if types else detect(events.where(F.col("var").isin(names)))
-    numeric = own.where("numeric").where(F.col("var").isin(names)).select("var", F.lit(True).alias("forced"))
     # at most one row for each override
-    marked = events.join(F.broadcast(numeric), "var", "left")
+    numeric = [r["var"] for r in own.where("numeric").where(F.col("var").isin(names)).select("var").collect()]
+    if not numeric:
+        return events
     value = F.concat(F.lit("_"), F.coalesce("val", F.lit("nan")) if prefix_nulls else F.col("val"))
-    return marked.withColumn("val", F.when(F.col("forced"), value).otherwise(F.col("val"))).select(*events.columns)
+    return events.withColumn("val", F.when(F.col("var").isin(numeric), value).otherwise(F.col("val")))
 
 
 def premap_duplicates(events: DataFrame, types: Lookup | DataFrame) -> DataFrame:
@@ -48,10 +49,10 @@ def premap_duplicates(events: DataFrame, types: Lookup | DataFrame) -> DataFrame
     entities, or more, and few rows of each. Only rows of text variables move."""
     types = types if isinstance(types, Lookup) else lookup(types)
     # a small dictionary is filtered in the driver, where lower() would load the title case of all characters, 100 MB
-    text = types.frame.where(~F.col("value_type").rlike("(?i)numeric|none")).select("var", F.lit(True).alias("is_text"))
+    text = types.frame.where(~F.col("value_type").rlike("(?i)numeric|none")).select("var")
     text = Lookup(text, types.small)
     # a missing time is a time of its own
-    rows = look_up(events, text, ["var"]).withColumns({"t_null": F.col("t").isNull(), "t_key": F.coalesce("t", F.lit(0.0))})
+    rows = look_up(events, text, ["var"], "left_semi").withColumns({"t_null": F.col("t").isNull(), "t_key": F.coalesce("t", F.lit(0.0))})
     on = ["ID", "t_null", "t_key", "var"]
     twice = rows.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").select(*on, F.lit(True).alias("twice"))
     rows = look_up(rows, lookup(stored(twice)), on, "left", salts=1)

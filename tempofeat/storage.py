@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -81,4 +82,23 @@ def release(spark: SparkSession) -> None:
     Spark lets go of their broadcasts and shuffles only when the driver's garbage is
     collected, and a heap that has room is filled before that and then kept."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> str:
+    """Returns native memory that the driver's JVM has freed, its compilers' above all, to the system.
+
+    The C library keeps it otherwise. What was returned, in the JVM's words; empty for
+    a JVM without such a command (other makers, other systems, older versions)."""
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # its class is hidden, and only its interface's methods can be called
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    arguments = new_array(jvm.Object, 4)
+    arguments[0], arguments[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        return invoke.invoke(beans, arguments) or ""
+    except Py4JJavaError:
+        return ""

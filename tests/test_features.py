@@ -11,11 +11,11 @@ from tempofeat.config import Settings, load_settings
 from tempofeat.functions.values import NUMERIC, interval_labels, time_bin, to_double
 from tempofeat.operators import hierarchy, invariant, postfilter, prefilter, temporal, value_types
 from tempofeat.operators.discretize import column_profile, edges_by_column, predetermined
-from tempofeat.operators.lookup import lookup
+from tempofeat.operators.lookup import look_up, lookup
 from tempofeat.operators.numbering import numbered
 from tempofeat.plans.pipeline import FeaturePipeline, dense, row_labels
 from tempofeat.plans.queries import QUERIES, SQL
-from tempofeat.storage import stored
+from tempofeat.storage import stored, trim
 
 SCHEMA = "ID long, t double, var string, val string, row_idx long"
 HR = {1: [(0.1, 70), (0.9, 71), (1.5, 72), (1.9, 73), (2.9, 74), (3.5, 75)], 2: [(0.1, 60), (0.8, 60), (0.9, 61), (2.1, 73), (2.9, 78), (3.5, 75)], 3: [(1.7, 90)], 4: [(0.7, 80), (2.5, 62), (3.9, 73)]}
@@ -337,3 +337,34 @@ def test_steps_release_what_the_driver_holds(spark):
         before = whole()
         step(spark.range(3))
         assert whole() > before
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_keys_need_no_broadcast(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "ID long, var string")
+    names = lookup(spark.createDataFrame([("a",), (None,), ("z",)], "var string"))
+    inside, outside = (look_up(rows, names, ["var"], how) for how in ("left_semi", "left_anti"))
+    assert inside.columns == ["var", "ID"] and [r.ID for r in inside.collect()] == [1] and sorted(r.ID for r in outside.collect()) == [2, 3]
+    assert "Broadcast" not in plan(inside) + plan(outside)
+    none = lookup(spark.createDataFrame([], "var string"))
+    assert [look_up(rows, none, ["var"], how).count() for how in ("left_semi", "left_anti")] == [0, 3]
+    many = lookup(spark.range(1000).select(F.col("id").alias("ID")))
+    assert look_up(rows, many, ["ID"], "left_anti").count() == 0 and "Broadcast" in plan(look_up(rows, many, ["ID"], "left_semi"))
+
+
+def test_forced_and_filled_need_no_broadcast(small):
+    events, people = small
+    types = lookup(value_types.detect(events, {"ROOM": "Categorical"}))
+    forced = value_types.force_categorical(events, {"ROOM": "Categorical"}, types=types)
+    assert {r.val for r in forced.where("var = 'ROOM'").collect()} == {"_101", "_102", "_103"} and "Broadcast" not in plan(forced)
+    often = lookup(events.where("var = 'HR'").select("var").distinct())
+    settings = Settings(T=4, dt=1)
+    table = temporal.filled(temporal.binned(events, people, settings), people, often, settings)
+    assert table.count() == 16 and "BroadcastNested" not in plan(table) and "BroadcastHash" not in plan(table)
+
+
+def test_freed_native_memory_is_returned(spark):
+    assert "Trim native heap" in trim(spark)
