@@ -51,8 +51,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = rows(orders, "o_custkey", days, "o_orderkey", [("STATUS", F.col("o_orderstatus")), ("OUTCOME", F.lower("o_orderstatus"))])
     places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     # a row for each nation; Spark takes the product of its tables for its size, and would broadcast the customers
-    people = table(spark, sf_dir, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    people = table(spark, sf_dir, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     path = F.concat_ws(":", "r_name", "n_name", "c_mktsegment")
-    values = [("ACCTBAL", F.col("c_acctbal").cast("string")), ("SEGMENT", F.col("c_mktsegment")), ("NATION", F.col("c_nationkey").cast("string")), ("REGION", path)]
-    fixed = rows(people, "c_custkey", F.lit(None).cast("double"), "c_custkey", values)
+    placed = F.when(F.col("n_nationkey").isNotNull(), "REGION")  # customers of no known nation lack this row alone
+    values = [("ACCTBAL", F.col("c_acctbal").cast("string")), ("SEGMENT", F.col("c_mktsegment")), ("NATION", F.col("c_nationkey").cast("string")), (placed, path)]
+    fixed = rows(people, "c_custkey", F.lit(None).cast("double"), "c_custkey", values).where("var is not null")
     return series.unionByName(status).unionByName(fixed)

@@ -373,3 +373,23 @@ def test_freed_native_memory_is_returned(spark):
 def test_variances_are_computed_once(spark):
     features, cells, _, _ = _kept_s(spark, "/root/testdata/sf0.001")
     assert cells.count() and "Aggregate" not in plan(cells) + plan(features)
+
+
+def with_sql(spark, name, d):
+    """Sorted rows of a query over the tables of a folder, and of its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("customer", "events", "nation", "orders", "region"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    return sorted(map(tuple, QUERIES[name](spark, d).collect()), key=str), sorted(con.execute(SQL[name]).fetchall(), key=str)
+
+
+@pytest.mark.parametrize("change", ["case when c_custkey < 5 then -0.0D else c_acctbal end as c_acctbal", "nullif(c_nationkey, 3) as c_nationkey", "if(c_custkey < 50, c_nationkey + 25, c_nationkey) as c_nationkey", "-1 - abs(c_acctbal) as c_acctbal"])
+def test_mean_of_odd_customers(spark, tmp_path, change):
+    """Balances of -0.0, customers of no known nation, and debts alone."""
+    for t in ("customer", "events", "nation", "orders", "region"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        rows = rows.selectExpr(f"* except ({change.split()[-1]})", change) if t == "customer" else rows
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+    got, want = with_sql(spark, "invariant_impute_mean", str(tmp_path))
+    assert got == want and len(got) == 150
